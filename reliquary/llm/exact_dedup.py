@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower, materialise, skew_lookup
 
-#: Digests of hits are broadcast as a filter up to this many (8 bytes each); beyond, they are joined by shuffle.
-FILTER_KEYS = 4_000_000
+#: Digests of hits are broadcast as a filter up to this many (under 100 bytes each); beyond, they are joined by shuffle.
+FILTER_KEYS = 500_000
 
 
 class DigestIndex:
