@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, line_dedup, mixing, packing, quality, sharding, url_filter
+from . import exact_dedup, jaccard, line_dedup, mixing, packing, ppm, quality, sharding, url_filter
 from .shared import LOWER, UPPER
 
 
@@ -37,6 +37,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path(), size=4096, end=1)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(_documents(spark, sf_dir), order=5, folds=7, fold=2)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir), keep="max")
 
@@ -58,7 +62,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_packing, op5_exact_dedup, op6_mixing, op7_quality, op9_jaccard, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_packing, op4_lm_scoring, op5_exact_dedup, op6_mixing, op7_quality, op9_jaccard, op10_url_filters)}
 
 OP5_SQL = f"""
 WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS h FROM documents)
