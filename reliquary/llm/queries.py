@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, line_dedup, mixing, packing, ppm, quality, sharding, url_filter
+from . import exact_dedup, jaccard, licenses, line_dedup, mixing, packing, ppm, quality, sharding, url_filter
 from .shared import LOWER, UPPER
 
 
@@ -54,6 +54,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "score")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_documents(spark, sf_dir))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_documents(spark, sf_dir), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
@@ -62,7 +66,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_packing, op4_lm_scoring, op5_exact_dedup, op6_mixing, op7_quality, op9_jaccard, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_packing, op4_lm_scoring, op5_exact_dedup, op6_mixing, op7_quality, op8_license_scan, op9_jaccard, op10_url_filters)}
 
 OP5_SQL = f"""
 WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS h FROM documents)

@@ -6,7 +6,6 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +53,20 @@ def materialise(df: DataFrame, tag: str, rows: int = 2000, **options: str) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far; only when no DataFrame over them is needed any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for _, path in [x for x in _made if x[0] is spark]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
+def made_since(count: int) -> list[str]:
+    return [path for _, path in _made[count:]]
+
+
+def made_count() -> int:
+    return len(_made)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these scratch tables, or all; only when no DataFrame over them is needed any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for _, path in [x for x in _made if x[0] is spark and (paths is None or x[1] in paths)]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-    _made[:] = [x for x in _made if x[0] is not spark]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -71,10 +77,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def row_hash(*columns: Column) -> Column:
-    return F.xxhash64(*columns)
-
-
 def number_rows(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each group from 0, without gaps, in the given order.
 
@@ -105,7 +107,3 @@ def skew_lookup(left: DataFrame, right: DataFrame, on: list[str], weight: str, t
     first = left.join(heavy, on, "inner")
     rest = left.join(heavy.select(*on), on, "left_anti").join(right.where(F.col(weight) <= limit), on, "left")
     return first.unionByName(rest)
-
-
-def kept_on_disk(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.DISK_ONLY)
