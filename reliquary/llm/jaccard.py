@@ -79,18 +79,27 @@ class PartEnum:
         return (self.den - self.num) * 2 * (self.bounds[band + 1] - 1) // (self.den + self.num)
 
     def signatures(self, h: np.ndarray) -> np.ndarray:
-        """For the set's own band, and for the next, where sets of that band look for it."""
+        """For the set's own band, and for the next, where sets of that band look for it.
+
+        There are a few first-level partitions more than needed, so similar sets agree in that many
+        more. A set in which no more of them than that have an empty signature needn't give those
+        out: it agrees in another one too, with content. Others give out all they have.
+        """
         own, out = self.band(len(h)), []
         for band in (own, own + 1):
             k = self.differences(band)
-            first, second = (1, 1) if k == 0 else (k // 2 + 1, SECOND)
+            spare = 1 + (k // 2 + 1) // 12 if k else 0
+            first, second = (k // 2 + 1 + spare, SECOND) if k else (1, 1)
             cell = (_mix(h + U(band)) % U(first * second)).astype(np.int64)
             sums = np.zeros(first * second, U)
             np.add.at(sums, cell, h)
             sums = sums.reshape(first, second)
-            left_out = sums.sum(axis=1, dtype=U)[:, None] - sums if second > 1 else sums
+            n = np.bincount(cell, minlength=first * second).reshape(first, second)
+            left_out = sums.sum(axis=1, dtype=U)[:, None] - sums if k else sums
+            empty = n.sum(axis=1)[:, None] == n if k else n == 0
             place = np.arange(first * second, dtype=U).reshape(first, second)
-            out.append(_mix(_mix(left_out) + place * U(0x9E3779B97F4A7C15) + U(band) * U(0xD6E8FEB86659FD93)).ravel())
+            made = _mix(_mix(left_out) + place * U(0x9E3779B97F4A7C15) + U(band * 0xD6E8FEB86659FD93 % (1 << 64)))
+            out.append(made[~empty] if empty.any(axis=1).sum() <= spare else made.ravel())
         return np.concatenate(out)
 
 
@@ -209,7 +218,8 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     ends = ends.join(F.broadcast(lead), "sig").select("sig", "node", "pivot")
     buckets = materialise(buckets.where("not edge").select("sig", "node", "pivot").unionByName(ends).distinct(), "bucket-rows")
 
-    # The sets of nodes that share a bucket, from one of each node's documents.
+    # The sets of nodes that share a bucket, from one of each node's documents; rows that repeat
+    # it repeat its set, and a pair's answer with it.
     nodes = buckets.select("node").distinct()
     one = made.join(_small(materialise(nodes, "nodes")), "node").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("node", "d.*")
     one = materialise(one.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))), "chosen")
@@ -220,7 +230,7 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
             yield pa.RecordBatch.from_arrays([b["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "set"])
 
     chosen = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(_small(one), ["doc_id", "th"]).select("node", "data")
-    sets = materialise(chosen.mapInArrow(write_sets, "node long, n long, set binary").dropDuplicates(["node"]), "node-sets")
+    sets = materialise(chosen.mapInArrow(write_sets, "node long, n long, set binary"), "node-sets")
     sizes = sets.select("node", "n")
 
     def linked(pairs: DataFrame) -> DataFrame:
