@@ -10,7 +10,9 @@ partitions and pack again, until no partition has a gap or an exchange saves no
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +25,22 @@ from .shared import materialise
 #: Pieces that one partition packs, about; they are lengths and row numbers only.
 PIECES = 50_000
 _ID = np.dtype("<u4")
+assert sys.byteorder == "little" and array("I").itemsize == 4  # ids are kept as this machine's unsigned 32-bit numbers
 #: Texts of these characters alone are split here as the tokenizer's own pattern would: in them letters
 #: are a-z and the Latin-1 ones, digits 0-9, and case folding and normalisation change nothing else.
 _ODD = re.compile(r"[^\t-\r\x20-\x7e\xc0-\xff]|<\|(?:start|end)oftext\|>")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
+#: A byte-level vocabulary shows bytes as characters: printable Latin-1 ones as themselves, the others from code point 256 on.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class WordIds:
     """Token ids by the `tokenizers` library, which sees each different word once while it is cached."""
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,11 +61,14 @@ class WordIds:
         split = [self._pieces(t) for t in texts]
         if len(self.cache) > self.words:
             self.cache.clear()
-        new = list({w for p in split for w in p if w not in self.cache})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, _ID).tobytes()
+        model, odd = self.tokenizer.model, []
+        for w in {w for p in split for w in p if w not in self.cache}:
+            if _ODD.search(w):
+                odd.append(w)
+            else:  # one word by the tokenizer's own pattern: straight to its model
+                self.cache[w] = array("I", [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.cache[w] = array("I", e.ids).tobytes()
         return [b"".join(map(self.cache.__getitem__, p)) for p in split]
 
 
