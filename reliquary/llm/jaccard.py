@@ -8,7 +8,10 @@ similar sets share a signature, whatever their differences.
 
 Copies with equal sets are one node. Rows (signature, node) are range-partitioned, sorted and
 streamed; nodes of a bucket are held against its smallest node first. Buckets whose nodes are
-connected by then need no more work: only pairs across components are compared, all of them.
+connected by then need no more work. The nodes of the others are bucketed anew, by the rarest of
+their shingles: of two similar sets, each has so many that one of them is in both (a prefix filter,
+which text that many documents share doesn't pass). There, too, stars come first, and then only
+pairs across components are compared, all of them.
 """
 
 from __future__ import annotations
@@ -16,18 +19,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, skew_lookup
+from .shared import drop_shuffles, made_count, made_since, materialise, release, skew_lookup
 
 U = np.uint64
 #: Second-level partitions of each first-level one; a signature leaves one of them out.
-SECOND = 2
+SECOND = 3
+#: A signature of fewer shingles is light: it needn't be given out where spare partitions allow it.
+LIGHT = 2
 #: A table of nodes is broadcast up to this many rows of under 100 bytes each.
 BROADCAST_ROWS = 500_000
-#: Rounds of comparing nodes with their buckets' smallest before pairs across components are listed.
+#: Rounds of stars in either kind of buckets, before pairs across components are listed.
 ROUNDS = 3
 
 
@@ -81,14 +86,15 @@ class PartEnum:
     def signatures(self, h: np.ndarray) -> np.ndarray:
         """For the set's own band, and for the next, where sets of that band look for it.
 
-        There are a few first-level partitions more than needed, so similar sets agree in that many
-        more. A set in which no more of them than that have an empty signature needn't give those
-        out: it agrees in another one too, with content. Others give out all they have.
+        There are a tenth more first-level partitions than needed, so similar sets agree in that
+        many more. A set in which no more of them than that have a light signature needn't give
+        light ones out: it agrees in another partition too, and what agrees is as heavy in both
+        sets. Sets with more light ones give out all they have.
         """
         own, out = self.band(len(h)), []
         for band in (own, own + 1):
             k = self.differences(band)
-            spare = 1 + (k // 2 + 1) // 12 if k else 0
+            spare = (k // 2 + 1) // 10 + 1 if k else 0
             first, second = (k // 2 + 1 + spare, SECOND) if k else (1, 1)
             cell = (_mix(h + U(band)) % U(first * second)).astype(np.int64)
             sums = np.zeros(first * second, U)
@@ -96,10 +102,10 @@ class PartEnum:
             sums = sums.reshape(first, second)
             n = np.bincount(cell, minlength=first * second).reshape(first, second)
             left_out = sums.sum(axis=1, dtype=U)[:, None] - sums if k else sums
-            empty = n.sum(axis=1)[:, None] == n if k else n == 0
+            light = n.sum(axis=1)[:, None] - n < LIGHT if k else n < 1
             place = np.arange(first * second, dtype=U).reshape(first, second)
             made = _mix(_mix(left_out) + place * U(0x9E3779B97F4A7C15) + U(band * 0xD6E8FEB86659FD93 % (1 << 64)))
-            out.append(made[~empty] if empty.any(axis=1).sum() <= spare else made.ravel())
+            out.append(made[~light] if light.any(axis=1).sum() <= spare else made.ravel())
         return np.concatenate(out)
 
 
@@ -179,7 +185,7 @@ def _verify(num: int, den: int):
         for b in batches:
             ok = []
             for x, y in zip(b["set_a"], b["set_b"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(ok, pa.bool_())], ["a", "b", "linked"])
@@ -187,6 +193,18 @@ def _verify(num: int, den: int):
     return verify
 
 
+def _by_rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(bucket, node): each set's n - ceil(n * num / den) + 1 rarest elements among all of these sets,
+    those apart that no other set has. Any order that is the same for all would do."""
+    rows = materialise(sets.select("node", "n", F.explode("set").alias("bucket")), "elements")
+    times = materialise(rows.groupBy("bucket").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    known = skew_lookup(rows, times, ["bucket"], "times", rows.count()).where("times is not null")
+    own = Window.partitionBy("node")
+    ranked = known.withColumns({"rank": F.row_number().over(own.orderBy("times", "bucket")), "shared": F.count("*").over(own)})
+    most = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    return materialise(ranked.where(F.col("rank") <= most - (F.col("n") - F.col("shared"))).select("bucket", "node"), "rarest")
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -204,6 +222,7 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.encode(text, "utf-8").alias("data"))
     for seed in range(8):
         made = materialise(rows.mapInArrow(_sets(width, num, den, seed), "doc_id long, th long, n long, node long, check long, signatures array<long>"), "sets")
+        signatures_path = made_since(made_count() - 1)
         classes = made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("check").alias("c1"), F.max("check").alias("c2"))
         classes = materialise(classes, "classes")
         total, clash = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.when(F.col("c1") != F.col("c2"), 1))).first()
@@ -216,8 +235,15 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     ends = buckets.where("edge").select("sig", "node").distinct()
     lead = ends.groupBy("sig").agg(F.min("node").alias("pivot"), F.count("*").alias("k")).where("k > 1")
     ends = ends.join(F.broadcast(lead), "sig").select("sig", "node", "pivot")
+    slim = materialise(made.drop("signatures"), "nodes-of-documents")
     buckets = materialise(buckets.where("not edge").select("sig", "node", "pivot").unionByName(ends).distinct(), "bucket-rows")
 
+    # Signatures are the bulk of what was written and shuffled; they aren't needed any more.
+    made = slim
+    release(docs.sparkSession, signatures_path)
+    del signed, ranged
+    drop_shuffles(docs.sparkSession)
+
     # The sets of nodes that share a bucket, from one of each node's documents; rows that repeat
     # it repeat its set, and a pair's answer with it.
     nodes = buckets.select("node").distinct()
@@ -227,10 +253,10 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     def write_sets(batches):
         for b in batches:
             sets = [shingles(x.as_py(), width, seed) for x in b["data"]]
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "set"])
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", "set"])
 
     chosen = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(_small(one), ["doc_id", "th"]).select("node", "data")
-    sets = materialise(chosen.mapInArrow(write_sets, "node long, n long, set binary"), "node-sets")
+    sets = materialise(chosen.mapInArrow(write_sets, "node long, n long, set array<long>"), "node-sets")
     sizes = sets.select("node", "n")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -243,33 +269,39 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     def ordered(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    edges = tried = None
-    state = buckets.select("sig", "node", F.col("node").alias("label"), "pivot")
-    for turn in range(ROUNDS + 1):
-        if turn:
-            labels = components(edges)
-            spread = buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-            whole = spread.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig", F.col("low"))
-            state = materialise(spread.join(whole, "sig"), "open-buckets")
-        if turn < ROUNDS:
-            # Each node against one node per bucket: the smallest, then the smallest of the smallest-labelled component.
-            if turn:
-                lead = state.where("label = low").groupBy("sig").agg(F.min("node").alias("pivot"))
-                state = state.join(lead, "sig")
-                pairs = state.where("label <> low").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b")
-            else:
-                pairs = state.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b")
-        else:  # what is left: all pairs across components of a bucket
-            other = state.select("sig", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            pairs = state.join(other, "sig").where("label < label_b").select(F.col("node").alias("a"), "b")
+    def in_open(buckets: DataFrame) -> DataFrame:
+        """(bucket, node, label, low) of buckets whose nodes aren't all connected; low: their smallest label."""
+        if edges is None:
+            spread = buckets.withColumn("label", F.col("node"))
+        else:
+            spread = buckets.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = spread.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        return materialise(spread.join(several.select("bucket", "low"), "bucket").select("bucket", "node", "label", "low"), "open")
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal edges, tried
         pairs = ordered(pairs)
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
-        found = linked(pairs)
-        new = found.where("linked").select("a", "b")
-        edges = new if edges is None else edges.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if turn and not edges.limit(1).count():
-            edges = edges.unionByName(new)
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = linked(pairs).where("linked").select("a", "b")
+        edges, tried = (new, pairs) if edges is None else (edges.unionByName(new), tried.unionByName(pairs))
+
+    def stars(buckets: DataFrame, rounds: int) -> DataFrame:
+        """Each node against one of the smallest-labelled component in one of its buckets, several times."""
+        state = in_open(buckets)
+        for _ in range(rounds):
+            if state.isEmpty():
+                break
+            lead = state.where("label = low").groupBy("bucket").agg(F.min("node").alias("lead"))
+            compare(state.where("label <> low").join(lead, "bucket").groupBy("node").agg(F.min("lead").alias("b")).select(F.col("node").alias("a"), "b"))
+            state = in_open(state.select("bucket", "node"))
+        return state
+
+    edges = tried = None
+    compare(buckets.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b"))
+    open_ = stars(buckets.select(F.col("sig").alias("bucket"), "node").distinct(), ROUNDS)
+    open_ = stars(_by_rarest(sets.join(open_.select("node").distinct(), "node", "left_semi"), num, den), ROUNDS)
+    other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    compare(open_.join(other, "bucket").where("label < label_b").select(F.col("node").alias("a"), "b"))
     labels = components(edges)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -283,9 +315,9 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents of which none with a smaller id links to them, with all their columns; of rows
     that repeat an id with the same text, all stay or none."""
     found = similar_documents(docs.select("doc_id", "text"), **how)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_d"), F.col("th").alias("_h")).distinct()
-    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_h": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return rows.join(keep, ["_d", "_h"], "left_semi").select(*docs.columns)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_rq_doc"), F.col("th").alias("_rq_text")).distinct()
+    rows = docs.withColumns({"_rq_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_rq_text": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return rows.join(keep, ["_rq_doc", "_rq_text"], "left_semi").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -32,9 +32,9 @@ def line_keys(data: bytes) -> list[bytes]:
 
 
 def with_identity(docs: DataFrame) -> DataFrame:
-    """doc: the id, a stand-in if null; th: hash of the text. Both tell documents apart."""
+    """_doc: the id, a stand-in if null; _th: hash of the text. Both tell documents apart. _data: the text as bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "th": F.xxhash64(text), "data": F.encode(text, "utf-8")})
+    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(text), "_data": F.encode(text, "utf-8")})
 
 
 def _hash_lines(batches):
@@ -163,7 +163,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     and position, stays. A null or empty text has one empty line, which is never dropped. Rows
     that repeat a doc_id with the same text are one document; null ids count as one id.
     """
-    lines = materialise(with_identity(docs).select("doc", "th", "data").mapInArrow(_hash_lines, "h1 long, h2 long, doc long, th long, pos int"), "line-hashes")
+    lines = materialise(with_identity(docs).select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_data").alias("data")).mapInArrow(_hash_lines, "h1 long, h2 long, doc long, th long, pos int"), "line-hashes")
     order = ["h1", "h2", "doc", "th"]
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
     runs = materialise(ranged.mapInArrow(_stream(min_docs, keep_first), "kind int, part int, h1 long, h2 long, doc long, th long, pos int, n long"), "line-runs", rows=50_000)
@@ -188,13 +188,13 @@ def lines_kept(data: bytes, keep: bytes | None) -> tuple[int, list[bytes]]:
 
 def _joined(docs: DataFrame, how: dict) -> DataFrame:
     maps = keep_bitmaps(docs.select("doc_id", "text"), **how)
-    return with_identity(docs).join(maps, ["doc", "th"], "left")
+    return with_identity(docs).join(maps.toDF("_doc", "_th", "_keep"), ["_doc", "_th"], "left")
 
 
 def _digest(batches):
     for b in batches:
         n_lines, n_dropped, sha = [], [], []
-        for data, keep in zip(b["data"], b["keep"], strict=True):
+        for data, keep in zip(b["_data"], b["_keep"], strict=True):
             n, kept = lines_kept(data.as_py(), keep.as_py())
             n_lines.append(n)
             n_dropped.append(n - len(kept))
@@ -204,7 +204,7 @@ def _digest(batches):
 
 def line_digests(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
-    rows = _joined(docs.select("doc_id", "text"), how).select("doc_id", "data", "keep")
+    rows = _joined(docs.select("doc_id", "text"), how).select("doc_id", "_data", "_keep")
     return materialise(rows.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string"), "line-digests")
 
 
@@ -214,15 +214,15 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
 
     def apply(batches):
         for b in batches:
-            texts = [b"\n".join(lines_kept(d.as_py(), k.as_py())[1]) for d, k in zip(b["data"], b["keep"], strict=True)]
+            texts = [b"\n".join(lines_kept(d.as_py(), k.as_py())[1]) for d, k in zip(b["_data"], b["_keep"], strict=True)]
             texts = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else b[c] for c in schema.names], schema.names)
 
     rows = _joined(docs, how)
-    changed = rows.where("keep is not null").select(*[c for c in docs.columns if c != "text"], "data", "keep").mapInArrow(apply, schema)
+    changed = rows.where("_keep is not null").select(*[c for c in docs.columns if c != "text"], "_data", "_keep").mapInArrow(apply, schema)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return rows.where("keep is null").select(*docs.columns).unionByName(changed)
+    return rows.where("_keep is null").select(*docs.columns).unionByName(changed)
 
 
 ORACLE = f"""

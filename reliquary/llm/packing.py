@@ -4,7 +4,8 @@ Documents become token ids; only documents longer than a sequence are cut. Piece
 partitions, each packs its own by best-fit decreasing and compares its number of bins with lower
 bounds from dual feasible functions. Where they agree the partition is certified. Partitions with
 a gap keep their full bins, exchange the pieces of the others under a new deal into fewer
-partitions and pack again, until no partition has a gap or an exchange saves no bin.
+partitions and pack again; so do all partitions while the whole is above its own bound, until
+that is met or an exchange saves no bin.
 """
 
 from __future__ import annotations
@@ -98,9 +99,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end: int) -> DataFrame
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
     """The best of several bounds on the bins that these lengths need, by dual feasible functions."""
-    if not len(lengths):
-        return 0
-    n = np.bincount(lengths, minlength=size + 1).astype(np.int64)
+    return bound_of(np.bincount(lengths, minlength=size + 1).astype(np.int64), size)
+
+
+def bound_of(n: np.ndarray, size: int) -> int:
+    """The same from the number n[x] of pieces of each length x."""
     x = np.arange(size + 1, dtype=np.int64)
     best = -(-int((n * x).sum()) // size)
     count, weight = np.cumsum(n), np.cumsum(n * x)
@@ -140,9 +143,10 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 def _pack(size: int, turn: int):
     def pack(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
         part = TaskContext.get().partitionId()
         lengths = table["length"].to_numpy()
         bins, offsets, made = best_fit_decreasing(lengths, size)
@@ -163,7 +167,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end: int =
     an empty result. A partition holds about PIECES pieces, whatever the input's size.
     """
     pieces = pieces_of(docs, tokenizer, size, end)
-    count = pieces.count()
+    histogram = np.zeros(size + 1, np.int64)  # at most `size` rows reach the driver
+    for r in pieces.groupBy("length").count().collect():
+        histogram[r["length"]] = r["count"]
+    least, count = bound_of(histogram, size), int(histogram.sum())
     turn, parts = 0, max(1, -(-count // PIECES))
     schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "full": F.lit(True), "gap": F.lit(0).cast("long")}).schema
 
@@ -172,20 +179,20 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end: int =
         return materialise(dealt.mapInArrow(_pack(size, turn), schema), f"packed{turn}")
 
     def bins(rows: DataFrame) -> int:
-        return rows.agg(F.countDistinct("sequence_id")).first()[0]
-
-    done, packed = [], deal(pieces)
-    while True:
-        loose = packed.where("gap > 0 and not full")
-        moved = loose.count()
-        if not moved or parts == 1:
-            break
-        turn, parts = turn + 1, max(1, min(parts // 2, -(-moved // PIECES)))
-        again = deal(loose)
-        if bins(again) >= bins(loose):
+        return rows.select("sequence_id").distinct().count()
+
+    packed, loose = deal(pieces), (F.col("gap") > 0) & ~F.col("full")
+    wide = False  # first the partitions with a gap; then, if the whole has one, all that aren't full
+    while bins(packed) > least:
+        chosen = packed.where(loose)
+        moved, before = chosen.count(), bins(chosen)
+        if moved:
+            turn, parts = turn + 1, max(1, min(parts // 2, -(-moved // PIECES)))
+            again = deal(chosen)
+            if bins(again) < before:
+                packed = packed.where(~loose).unionByName(again)
+                continue
+        if wide:
             break
-        done.append(packed.where("gap <= 0 or full"))
-        packed = again
-    for d in done:
-        packed = packed.unionByName(d)
+        wide, loose = True, ~F.col("full")
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -69,6 +70,13 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more, now
+    and not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does that in one pass unless it would also change a
     character outside ASCII; only such texts pay for translate(), which looks up every character."""

@@ -63,7 +63,8 @@ def judge_urls(pages: DataFrame, rules=RULES, depth: int = 3, many: int = 8, var
     Pages that a rule judges are the labels. A template with at least `least` labels whose block
     rate lies within `z` standard errors of the rate of all its parent's labels takes the parent's
     counts, if the parent has other labelled templates; one with fewer keeps its own. Its purity
-    is (blocked + prior * rate of all labels) / (labels + prior); from `limit` on it is rejected.
+    is (blocked + prior / 2) / (labels + prior), so without labels one half; from `limit` on it is
+    rejected.
     A null url, or one without '://', has empty host and path and is one template of its own.
     """
     # isNull guards: a null or odd url gives '' for both parts, never null.
@@ -77,15 +78,14 @@ def judge_urls(pages: DataFrame, rules=RULES, depth: int = 3, many: int = 8, var
         F.count(F.when(F.col("_rule.verdict") == "block", 1)).alias("blocked"),
     )
     counts = materialise(counts, "template-counts")
-    n, n_labels, n_blocked = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("pages", "labels", "blocked")]).first()
-    rate = n_blocked / n_labels if n_labels else 0.0
+    n = counts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     above = counts.groupBy("host", "parent").agg(F.sum("labels").alias("p_labels"), F.sum("blocked").alias("p_blocked"))
     own = counts.join(above, ["host", "parent"])
     p = F.try_divide("p_blocked", "p_labels")
     gap = F.abs(F.try_divide("blocked", "labels") - p)
     alike = (F.col("labels") >= least) & (gap <= z * F.sqrt(F.try_divide(p * (1 - p), F.col("labels"))))
     own = own.withColumns({"k": F.when(alike, F.col("p_labels")).otherwise(F.col("labels")), "b": F.when(alike, F.col("p_blocked")).otherwise(F.col("blocked"))})
-    own = own.withColumn("purity", (F.col("b") + F.lit(prior * rate)) / (F.col("k") + F.lit(prior)))
+    own = own.withColumn("purity", (F.col("b") + F.lit(prior / 2)) / (F.col("k") + F.lit(prior)))
     out = skew_lookup(rows, own.select("host", "template", "pages", "purity"), ["host", "template"], "pages", n)
     method = F.when(F.col("purity") >= limit, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), "template", "purity", F.coalesce(F.col("_rule.verdict"), method).alias("verdict"))
@@ -112,9 +112,9 @@ WITH u AS (
 ),{"".join(steps)}
  t AS (SELECT * REPLACE (CASE WHEN len(segs) > {depth} THEN template || '/**' ELSE template END AS template) FROM t{depth}),
  n AS (SELECT host, regexp_extract(template, '^(.*)/[^/]*$', 1) AS parent, template, count(hit) AS labels, count(*) FILTER (hit LIKE 'block %') AS blocked FROM t GROUP BY 1, 2, 3),
- a AS (SELECT *, sum(labels) OVER p AS p_labels, sum(blocked) OVER p AS p_blocked, (SELECT coalesce(sum(blocked) / nullif(sum(labels), 0), 0) FROM n) AS rate FROM n WINDOW p AS (PARTITION BY host, parent)),
+ a AS (SELECT *, sum(labels) OVER p AS p_labels, sum(blocked) OVER p AS p_blocked FROM n WINDOW p AS (PARTITION BY host, parent)),
  m AS (SELECT *, labels >= {least} AND abs(blocked / labels - p_blocked / p_labels) <= {z}::DOUBLE * sqrt(p_blocked / p_labels * (1 - p_blocked / p_labels) / labels) AS alike FROM a),
- v AS (SELECT host, template, ((CASE WHEN alike THEN p_blocked ELSE blocked END) + {prior}::DOUBLE * rate) / ((CASE WHEN alike THEN p_labels ELSE labels END) + {prior}::DOUBLE) AS purity FROM m)
+ v AS (SELECT host, template, ((CASE WHEN alike THEN p_blocked ELSE blocked END) + {prior}::DOUBLE / 2) / ((CASE WHEN alike THEN p_labels ELSE labels END) + {prior}::DOUBLE) AS purity FROM m)
 SELECT t.page_id, t.host, t.path, split_part(t.hit, ' ', 2) AS rule, t.template, v.purity,
   coalesce(split_part(t.hit, ' ', 1), CASE WHEN v.purity >= {limit}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
 FROM t JOIN v USING (host, template)"""
