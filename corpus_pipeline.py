@@ -19,6 +19,7 @@ _scratch: list[str] = []
 def _stage(work):
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         shared.release(spark, _scratch)
+        shared.drop_shuffles(spark)
         before = shared.made_count()
         out = work(spark, docs, sf_dir)
         _scratch[:] = shared.made_since(before)

@@ -6,8 +6,8 @@ first-level partitions, so few of them that one must hold at most one difference
 into second-level ones; every subset that leaves one second-level partition out is a signature. So
 similar sets share a signature, whatever their differences.
 
-Copies with equal sets are one node. Rows (signature, node) are range-partitioned, sorted and
-streamed; nodes of a bucket are held against its smallest node first. Buckets whose nodes are
+Copies with equal sets are one node. Rows (signature, node) are partitioned by signature, sorted
+and streamed; nodes of a bucket are held against its smallest node first. Buckets whose nodes are
 connected by then need no more work. The nodes of the others are bucketed anew, by the rarest of
 their shingles: of two similar sets, each has so many that one of them is in both (a prefix filter,
 which text that many documents share doesn't pass). There, too, stars come first, and then only
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_shuffles, made_count, made_since, materialise, release, skew_lookup
+from .shared import drop_shuffles, materialise, skew_lookup
 
 U = np.uint64
 #: Second-level partitions of each first-level one; a signature leaves one of them out.
@@ -109,54 +109,58 @@ class PartEnum:
         return np.concatenate(out)
 
 
-def _sets(width: int, num: int, den: int, seed: int):
-    """doc_id, n, node, check, and the signatures unless this task has given out the node's before."""
-    names = ["doc_id", "th", "n", "node", "check", "signatures"]
+def _node(h: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set."""
+    m = _mix(h)
+    return int(m.sum(dtype=U).view(np.int64)), int(_mix(m ^ U(0xA5A5A5A5)).sum(dtype=U).view(np.int64))
 
+
+def _sets(width: int, seed: int):
     def sets(batches):
+        for b in batches:
+            n, node, check = [], [], []
+            for x in b["data"]:
+                h = shingles(x.as_py(), width, seed)
+                i, c = _node(h) if len(h) else (None, None)
+                n.append(len(h)), node.append(i), check.append(c)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64())], ["doc_id", "th", "n", "node", "check"])
+
+    return sets
+
+
+def _signatures(width: int, num: int, den: int, seed: int):
+    """(sig, node) of each set, once in a task however many copies it has there."""
+
+    def signatures(batches):
         method, given = PartEnum(num, den), set()
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                n, node, check, sig = [], [], [], []
-                for x in part["data"]:
+                sigs, nodes = [], []
+                for x in b["data"].slice(at, 500):
                     h = shingles(x.as_py(), width, seed)
-                    n.append(len(h))
-                    if not len(h):
-                        node.append(None), check.append(None), sig.append(None)
-                        continue
-                    m = _mix(h)
-                    i = int(m.sum(dtype=U).view(np.int64))
-                    node.append(i), check.append(int(_mix(m ^ U(0xA5A5A5A5)).sum(dtype=U).view(np.int64)))
-                    if i in given:
-                        sig.append(None)
+                    i = _node(h)[0] if len(h) else None
+                    if i is None or i in given:
                         continue
                     if len(given) > 500_000:
                         given.clear()
                     given.add(i)
-                    sig.append(method.signatures(h).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["th"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], names)
+                    sigs.append(method.signatures(h).view(np.int64))
+                    nodes.append(np.full(len(sigs[-1]), i))
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
 
-    return sets
+    return signatures
 
 
 def _buckets(batches):
-    """From sorted (sig, node): the rows of buckets with several nodes, each with the bucket's smallest
-    node here. The first and the last bucket may go on next door: their pivots also come as edge rows."""
-    names = ["sig", "node", "pivot", "edge"]
+    """From sorted (sig, node): the rows of buckets with several nodes, each with the bucket's smallest node."""
     open_sig = pivot = last = None
     lone = True  # of the open bucket only the pivot came so far, and wasn't passed on
-
-    def rows(sig, node, piv, edge):
-        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(piv), pa.array(np.full(len(sig), edge))], names)
-
-    one = lambda edge: rows(*(np.array([x], np.int64) for x in (open_sig, pivot, pivot)), edge)
+    rows = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "pivot"])
     for b in batches:
         sig, node = b["sig"].to_numpy(), b["node"].to_numpy()
         if not len(sig):
             continue
-        if last is None:
-            yield rows(sig[:1], node[:1], node[:1], True)
         keep = np.ones(len(sig), bool)  # equal rows came from copies in different tasks
         keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         keep[0] = last != (sig[0], node[0])
@@ -170,14 +174,12 @@ def _buckets(batches):
         if open_sig == sig[0]:  # the open bucket goes on
             piv[: size[0]], several[: size[0]] = pivot, True
             if lone:
-                yield one(False)
+                yield rows(*(np.array([x], np.int64) for x in (open_sig, pivot, pivot)))
                 lone = False
         if several.any():
-            yield rows(sig[several], node[several], piv[several], False)
+            yield rows(sig[several], node[several], piv[several])
         if open_sig != sig[-1]:
             open_sig, pivot, lone = sig[-1], piv[-1], size[-1] == 1
-    if open_sig is not None:
-        yield one(True)
 
 
 def _verify(num: int, den: int):
@@ -221,27 +223,16 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.encode(text, "utf-8").alias("data"))
     for seed in range(8):
-        made = materialise(rows.mapInArrow(_sets(width, num, den, seed), "doc_id long, th long, n long, node long, check long, signatures array<long>"), "sets")
-        signatures_path = made_since(made_count() - 1)
+        made = materialise(rows.mapInArrow(_sets(width, seed), "doc_id long, th long, n long, node long, check long"), "nodes-of-documents")
         classes = made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("check").alias("c1"), F.max("check").alias("c2"))
         classes = materialise(classes, "classes")
         total, clash = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.when(F.col("c1") != F.col("c2"), 1))).first()
         if not clash:  # else two sets share a 64-bit hash: take another
             break
-    signed = made.where("signatures is not null").select(F.explode("signatures").alias("sig"), "node")
-    ranged = signed.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
-    buckets = materialise(ranged.mapInArrow(_buckets, "sig long, node long, pivot long, edge boolean"), "buckets", rows=50_000)
-    # Pieces of one bucket in several partitions: their smallest nodes (two a partition at most) form a bucket too.
-    ends = buckets.where("edge").select("sig", "node").distinct()
-    lead = ends.groupBy("sig").agg(F.min("node").alias("pivot"), F.count("*").alias("k")).where("k > 1")
-    ends = ends.join(F.broadcast(lead), "sig").select("sig", "node", "pivot")
-    slim = materialise(made.drop("signatures"), "nodes-of-documents")
-    buckets = materialise(buckets.where("not edge").select("sig", "node", "pivot").unionByName(ends).distinct(), "bucket-rows")
-
-    # Signatures are the bulk of what was written and shuffled; they aren't needed any more.
-    made = slim
-    release(docs.sparkSession, signatures_path)
-    del signed, ranged
+    # A bucket has at most one row per node, of the hundreds that each node gives out: even if it
+    # held all nodes, it would be a small part of the rows. It is streamed, not held.
+    signed = rows.select("data").mapInArrow(_signatures(width, num, den, seed), "sig long, node long")
+    buckets = materialise(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_buckets, "sig long, node long, pivot long"), "buckets")
     drop_shuffles(docs.sparkSession)
 
     # The sets of nodes that share a bucket, from one of each node's documents; rows that repeat
