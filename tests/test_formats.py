@@ -173,3 +173,41 @@ def test_cut_short(data):
                 read(cut)
             except W.ContainerError:
                 pass
+
+
+def test_two_volumes_on_a_disk():
+    half = V.write_dos(FILES).ljust(409_600, b"\0")
+    other = V.write_dos([a_file("FOUR", b"4" * 300, b"")]).ljust(409_600, b"\0")
+    names = ["ONE", "TWO", "THREE", "FOUR"]
+    assert [f["name"] for f in V.read_dual_dos(half + other)] == names
+    woven = b"".join(half[i : i + 256] + other[i : i + 256] for i in range(0, len(half), 256))
+    assert [f["name"] for f in V.read_dual_dos(woven, interleaved=True)] == names
+    with pytest.raises(W.ContainerError):
+        V.read_dual_dos(half)
+
+
+def test_slices_of_65536_blocks():
+    slices = V.write_pascal("A", FILES).ljust(65536 * 512, b"\0") + bytes(65536 * 512) + V.write_mfs("B", FILES)
+    assert [(p.scheme, p.start_block, p.type) for p in D.partitions(slices)] == [("cffa", 0, "pascal"), ("cffa", 131072, "mfs")]
+
+
+def test_font_metrics_and_bdf():
+    import struct
+
+    head = struct.pack(">13h", 0, 32, 33, 0, 0, 10, 2, 0, 0, 0, 0, 12, 0)
+    f = R.font(head)
+    assert (f["first"], f["last"], f["ascent"], f["descent"], f["height"]) == (32, 33, 10, 2, 12) and "Ascent: 10" in R.font_text(f)
+    # Two glyphs of 3 and 5 pixels, two rows of one word each.
+    strike = struct.pack(">13h", 0, 65, 66, 5, 0, 0, 8, 2, 0, 2, 0, 0, 1) + bytes([0b10111001, 0, 0b01010001, 0]) + struct.pack(">4H", 0, 3, 8, 8)
+    lines = R.bdf(strike, "F").split("\n")
+    assert lines[0] == "STARTFONT 2.1" and "CHARS 2" in lines
+    glyphs = [lines[i + 1 : i + 3] for i, x in enumerate(lines) if x == "BITMAP"]
+    assert glyphs == [["A0", "40"], ["C8", "88"]]
+
+
+def test_identical_fork_headers_by_both_builders():
+    one = C.apple_double(b"rsrc", "TEXT", "ttxt", 0x100)
+    assert W.read_apple(one)["rsrc_fork"] == b"rsrc" and W.read_apple(one)["finder_flags"] == 0x100
+    padded = C.apple_double(b"", "AB", None, always=True)
+    assert W.read_apple(padded)["type_code"] == "AB  " and W.read_apple(padded)["creator_code"] == "    "
+    assert W.read_apple(C.apple_double(b"x", None, None))["type_code"] is None
