@@ -260,40 +260,55 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     def ordered(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    edges = tried = labels = None  # labels: of edges, or None if there are new ones
+
+    def connected() -> DataFrame:
+        nonlocal labels
+        labels = labels or components(edges)
+        return labels
+
     def in_open(buckets: DataFrame) -> DataFrame:
         """(bucket, node, label, low) of buckets whose nodes aren't all connected; low: their smallest label."""
-        if edges is None:
-            spread = buckets.withColumn("label", F.col("node"))
-        else:
-            spread = buckets.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        spread = buckets.join(connected(), "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = spread.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         return materialise(spread.join(several.select("bucket", "low"), "bucket").select("bucket", "node", "label", "low"), "open")
 
-    def compare(pairs: DataFrame) -> None:
-        nonlocal edges, tried
-        pairs = ordered(pairs)
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    def untried(pairs: DataFrame) -> DataFrame:
+        """Of pairs with a < b, those not compared before."""
+        return pairs.join(tried, ["a", "b"], "left_anti")
+
+    def compare(pairs: DataFrame) -> bool:
+        """Whether any of the pairs is linked."""
+        nonlocal edges, tried, labels
+        pairs = materialise(ordered(pairs), "pairs")
         new = linked(pairs).where("linked").select("a", "b")
         edges, tried = (new, pairs) if edges is None else (edges.unionByName(new), tried.unionByName(pairs))
+        found = not new.isEmpty()
+        labels = None if found else labels
+        return found
 
     def stars(buckets: DataFrame, rounds: int) -> DataFrame:
-        """Each node against one of the smallest-labelled component in one of its buckets, several times."""
+        """Each node against one, not tried before, of the smallest-labelled component in one of its
+        buckets; again while that links any, some rounds at most."""
         state = in_open(buckets)
         for _ in range(rounds):
             if state.isEmpty():
                 break
             lead = state.where("label = low").groupBy("bucket").agg(F.min("node").alias("lead"))
-            compare(state.where("label <> low").join(lead, "bucket").groupBy("node").agg(F.min("lead").alias("b")).select(F.col("node").alias("a"), "b"))
+            pairs = state.where("label <> low").join(lead, "bucket").select("node", "lead").distinct()
+            pairs = untried(pairs.select("node", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")))
+            if not compare(pairs.groupBy("node").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*")):
+                break
             state = in_open(state.select("bucket", "node"))
         return state
 
-    edges = tried = None
     compare(buckets.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b"))
     open_ = stars(buckets.select(F.col("sig").alias("bucket"), "node").distinct(), ROUNDS)
-    open_ = stars(_by_rarest(sets.join(open_.select("node").distinct(), "node", "left_semi"), num, den), ROUNDS)
-    other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    compare(open_.join(other, "bucket").where("label < label_b").select(F.col("node").alias("a"), "b"))
-    labels = components(edges)
+    if not open_.isEmpty():
+        open_ = stars(_by_rarest(sets.join(open_.select("node").distinct(), "node", "left_semi"), num, den), ROUNDS)
+        other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
+        compare(untried(ordered(open_.join(other, "bucket").where("label < label_b").select(F.col("node").alias("a"), "b"))))
+    labels = connected()
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_node = named.join(smallest, "label").select("node", "copies", "component_id")
