@@ -196,15 +196,22 @@ def _verify(num: int, den: int):
 
 
 def _by_rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(bucket, node): each set's n - ceil(n * num / den) + 1 rarest elements among all of these sets,
-    those apart that no other set has. Any order that is the same for all would do."""
+    """(bucket, node, n, most_n): each set's n - ceil(n * num / den) + 1 rarest elements among all of
+    these sets, those apart that no other set has. Any order that is the same for all would do.
+
+    Two sets have no more in common than the elements that either shares with any set, so a similar
+    one has at most most_n elements; nodes that a bucket has no such partner for are left out.
+    """
     rows = materialise(sets.select("node", "n", F.explode("set").alias("bucket")), "elements")
     times = materialise(rows.groupBy("bucket").agg(F.count("*").alias("times")).where("times > 1"), "times")
     known = skew_lookup(rows, times, ["bucket"], "times", rows.count()).where("times is not null")
     own = Window.partitionBy("node")
     ranked = known.withColumns({"rank": F.row_number().over(own.orderBy("times", "bucket")), "shared": F.count("*").over(own)})
     most = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    return materialise(ranked.where(F.col("rank") <= most - (F.col("n") - F.col("shared"))).select("bucket", "node"), "rarest")
+    ranked = ranked.withColumn("most_n", F.floor(F.col("shared") * (num + den) / num).cast("long") - F.col("n"))
+    ranked = materialise(ranked.where(F.col("rank") <= most - (F.col("n") - F.col("shared"))).select("bucket", "node", "n", "most_n"), "rarest")
+    least = ranked.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    return materialise(ranked.join(least, "bucket").where("least_n <= most_n").drop("least_n"), "partnered")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -288,16 +295,18 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         return found
 
     def stars(buckets: DataFrame, rounds: int) -> DataFrame:
-        """Each node against one, not tried before, of the smallest-labelled component in one of its
-        buckets; again while that links any, some rounds at most."""
+        """Each node against the most central one of its open buckets, of another component and not
+        tried before; again while that links any, some rounds at most. Central is what lies in most
+        of the open buckets: in a group of edited copies, the one nearest to their origin."""
         state = in_open(buckets)
         for _ in range(rounds):
             if state.isEmpty():
                 break
-            lead = state.where("label = low").groupBy("bucket").agg(F.min("node").alias("lead"))
-            pairs = state.where("label <> low").join(lead, "bucket").select("node", "lead").distinct()
-            pairs = untried(pairs.select("node", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")))
-            if not compare(pairs.groupBy("node").agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*")):
+            weight = materialise(state.groupBy("node").agg(F.count("*").alias("weight")), "weights")
+            lead = state.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "label")).alias("lead"))
+            pairs = state.join(lead, "bucket").where("label <> lead.label").select("node", "lead.weight", F.col("lead.node").alias("lead")).distinct()
+            pairs = untried(pairs.select("node", "weight", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")))
+            if not compare(pairs.groupBy("node").agg(F.max(F.struct("weight", "a", "b")).alias("pair")).select("pair.a", "pair.b")):
                 break
             state = in_open(state.select("bucket", "node"))
         return state
@@ -305,9 +314,11 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     compare(buckets.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b"))
     open_ = stars(buckets.select(F.col("sig").alias("bucket"), "node").distinct(), ROUNDS)
     if not open_.isEmpty():
-        open_ = stars(_by_rarest(sets.join(open_.select("node").distinct(), "node", "left_semi"), num, den), ROUNDS)
-        other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        compare(untried(ordered(open_.join(other, "bucket").where("label < label_b").select(F.col("node").alias("a"), "b"))))
+        rare = _by_rarest(sets.join(open_.select("node").distinct(), "node", "left_semi"), num, den)
+        open_ = stars(rare.select("bucket", "node"), ROUNDS).join(rare, ["bucket", "node"])
+        other = open_.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "most_n")])
+        across = open_.join(other, "bucket").where("label < label_b and n <= most_n_b and n_b <= most_n")
+        compare(untried(ordered(across.select(F.col("node").alias("a"), F.col("node_b").alias("b")))))
     labels = connected()
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
