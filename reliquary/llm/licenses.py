@@ -9,6 +9,7 @@ Coverage is the share of the template's words that found a place.
 from __future__ import annotations
 
 import math
+import pkgutil
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-#: Notices and opening clauses by which public licences are recognised.
-TEMPLATES = {
+#: Short notices and opening clauses. A key is a licence, or licence#variant.
+NOTICES = {
     "All-rights-reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -27,11 +28,48 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "MIT-notice": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "MIT#notice": "Released under the MIT License.",
+    "MIT#clause": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
-_EDGE = b".,;:!?()[]{}\"'*#<>|"
+#: Whole licence texts, files of texts/.
+TEXTS = (
+    "Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC",
+    "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib",
+)
+
+
+def _gnu(program: str, kind: str, version: str) -> tuple[str, str]:
+    """The first paragraph of a GNU licence's standard notice, and all three."""
+    first = f"This {program} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    return first, f"""{first} This {program} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details. You should have received a copy of the GNU {kind} Public License
+along with this {program}. If not, see <https://www.gnu.org/licenses/>."""
+
+
+def _headers() -> dict[str, str]:
+    """Standard notices, as the licences' publishers word them."""
+    out = {
+        "Apache-2.0#header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES
+OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        "MPL-2.0#header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
+You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    }
+    gnu = [("General", "program", v, f"GPL-{v}.0") for v in "123"] + [("Lesser General", "library", v, f"LGPL-{v}") for v in ("2.1", "3.0")] + [("Affero General", "program", "3", "AGPL-3.0")]
+    for kind, program, version, name in gnu:
+        out[f"{name}#paragraph"], out[f"{name}#header"] = _gnu(program, kind, version.removesuffix(".0"))
+    for short, long in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-ND", "-NoDerivatives"), ("BY-NC", "-NonCommercial"), ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives")):
+        for version, kind in (("4.0", "International"), ("3.0", "Unported")):
+            words = f"Attribution{long if version == '4.0' else long.replace('NoDerivatives', 'NoDerivs')} {version} {kind}"
+            out[f"CC-{short}-{version}#sentence"] = f"This work is licensed under a Creative Commons {words} License."
+            out[f"CC-{short}-{version}#header"] = f"This work is licensed under the Creative Commons {words} License. To view a copy of this license, visit http://creativecommons.org/licenses/{short.lower()}/{version}/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+    return out
+
+
+#: Several templates a licence: notices, standard headers, whole texts.
+TEMPLATES = NOTICES | _headers() | {f"{name}#text": pkgutil.get_data(__name__, f"texts/{name}.txt").decode("utf-8") for name in TEXTS}
+_EDGE = b".,;:!?()[]{}\"'`*#<>|"
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -58,21 +96,26 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _common(a: list, b: list) -> list[tuple[int, int]]:
-    """Longest common subsequence, for gaps."""
-    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            size[i][j] = 1 + size[i + 1][j + 1] if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif size[i + 1][j] >= size[i][j + 1]:
-            i += 1
+    """Longest common subsequence, for gaps: a bit for each place of b, clear where a prefix of a gains a word."""
+    at = defaultdict(int)
+    for j, w in enumerate(b):
+        at[w] |= 1 << j
+    row = full = (1 << len(b)) - 1
+    rows = [row]
+    for w in a:
+        hit = row & at.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
         else:
-            j += 1
-    return out
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
 def align(a: list, b: list) -> list[tuple[int, int]]:
@@ -102,43 +145,93 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class _Template:
+    def __init__(self, name: str, text: str, least: float):
+        self.license, _, self.kind = name.partition("#")
+        self.words = words_of(text.encode())
+        self.need = max(1, math.ceil(least * len(self.words) - 1e-9))
+        self.times = Counter(self.words).most_common()
+
+    def possible(self, times: dict[bytes, int]) -> bool:
+        """Whether a text with so many of each word can hold enough of the template's words."""
+        left = len(self.words) - self.need
+        for w, n in self.times:
+            if (has := times.get(w, 0)) < n:
+                left -= n - has
+                if left < 0:
+                    return False
+        return True
+
+
 class Scanner:
     """Finds templates in word lists.
 
     A match that covers `least` of a template lies within twice its length and has one of any
     (1 - least) * length + 1 of the template's words, so only the surroundings of the rarest of
     these in the text are aligned: long texts cost no more than their hits, and none is missed.
+    Surroundings are shared by places a quarter of a template apart, so a long template is aligned
+    a few times at most for each of its lengths. Where a copy of the template would lie comes first,
+    twice its length on either side after that.
+
+    Each word of a text counts for one match, those with the most words first; what they leave is
+    scanned again until nothing is found.
     """
 
     def __init__(self, templates: dict[str, str], least: float):
-        self.templates, self.least = {k: words_of(v.encode()) for k, v in templates.items()}, least
-
-    def scan(self, words: list[bytes]) -> list[tuple[str, float, int, int, int]]:
-        """(license, coverage, matched, first word, last word) of the best match of each license found."""
-        places, out = defaultdict(list), []
-        wanted = {w for t in self.templates.values() for w in t}
-        for i, w in enumerate(words):
-            if w in wanted:
-                places[w].append(i)
-        for name, t in self.templates.items():
-            need = max(1, math.ceil(self.least * len(t) - 1e-9))
-            if sum(min(n, len(places.get(w, ()))) for w, n in Counter(t).items()) < need:
-                continue
-            rare = sorted(range(len(t)), key=lambda i: (len(places.get(t[i], ())), i))[: len(t) - need + 1]
-            best = None
-            for at in sorted({p for i in rare for p in places.get(t[i], ())}):
-                lo, hi = max(0, at - 2 * len(t)), at + 2 * len(t)
-                near = sum(1 for w in words[lo:hi] if w in t)
-                if near < need:
+        self.templates = [_Template(k, v, least) for k, v in templates.items()]
+
+    def scan(self, words: list[bytes]) -> list[tuple[str, str, float, int, int, int]]:
+        """(license, template, coverage, matched, first word, last word) of each match, the best covered first."""
+        words, out = list(words), []
+        times, templates = Counter(words), self.templates
+        while templates := [t for t in templates if len(words) >= t.need and t.possible(times)]:
+            wanted, places = {w for t in templates for w, _ in t.times}, defaultdict(list)
+            for i, w in enumerate(words):
+                if w in wanted:
+                    places[w].append(i)
+            hits = [(t, h) for t in templates for h in self._matches(t, words, places)]
+            if not hits:
+                break
+            for t, h in sorted(hits, key=lambda x: (-len(x[1]), len(x[0].words), x[1][0], x[0].license, x[0].kind)):
+                if all(words[i] for i in h):
+                    out.append((t.license, t.kind, len(h) / len(t.words), len(h), h[0], h[-1]))
+                    for i in h:
+                        times[words[i]] -= 1
+                        words[i] = b""
+        return sorted(out, key=lambda r: (-r[2], -r[3], r[0], r[4]))
+
+    def _matches(self, t: _Template, words: list[bytes], places: dict[bytes, list[int]]) -> list[list[int]]:
+        """The places of the words of each match of one template, none of them in two."""
+        size, out, words = len(t.words), [], list(words)
+        rare = sorted(range(size), key=lambda i: (len(places.get(t.words[i], ())), i))[: size - t.need + 1]
+        found = sorted({(p, i) for i in rare for p in places.get(t.words[i], ())})
+        step = max(1, size // 4)
+        for close in (True, False):
+            tried = set()
+            for p, i in found:
+                key = (p - i if close else p) // step
+                if not words[p] or key in tried:
                     continue
-                pairs = self._densest(align(words[lo:hi], t), 2 * len(t))
-                if best is None or len(pairs) > best[1]:
-                    best = (name, len(pairs), lo + pairs[0][0], lo + pairs[-1][0]) if pairs else best
-                if best and best[1] == len(t):
-                    break
-            if best and best[1] >= need:
-                out.append((name, best[1] / len(t), best[1], best[2], best[3]))
-        return sorted(out, key=lambda r: (-r[1], -r[2], r[0]))
+                tried.add(key)
+                lo, hi = (step * (key - 1), step * (key + 2) + size) if close else (step * key - 2 * size, step * (key + 1) + 2 * size)
+                lo = max(0, lo)
+                while t.possible(Counter(words[lo:hi])):
+                    pairs = self._densest(align(words[lo:hi], t.words), 2 * size)
+                    if len(pairs) < t.need:
+                        break
+                    out.append(self._tight([lo + q for q, _ in pairs], words))
+                    for q in out[-1]:
+                        words[q] = b""
+        return out
+
+    @staticmethod
+    def _tight(at: list[int], words: list[bytes]) -> list[int]:
+        """The same words, ending as early as they can from their start on, then starting as late as they can."""
+        for k in range(1, len(at)):
+            at[k] = next((q for q in range(at[k - 1] + 1, at[k]) if words[q] == words[at[k]]), at[k])
+        for k in range(len(at) - 2, -1, -1):
+            at[k] = next((q for q in range(at[k + 1] - 1, at[k], -1) if words[q] == words[at[k]]), at[k])
+        return at
 
     @staticmethod
     def _densest(pairs: list, width: int) -> list:
@@ -154,22 +247,27 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """One row per document: doc_id, n_licenses, license (the best covered, else null), coverage,
-    matched, first_word, last_word, and all hits as found (license, coverage, matched, first_word, last_word).
+    matched, first_word, last_word, and all matches as found (license, template, coverage, matched,
+    first_word, last_word), several of a license if it is there several times.
 
-    A license is found when some stretch of at most twice the template's length covers `least` of
-    its words in order. A null, empty or blank text has none. Rows are judged each by their text.
+    A license is found when some stretch of at most twice a template's length covers `least` of
+    its words in order, not counting words of larger matches. Templates are named license or
+    license#template; n_licenses counts licenses. A null, empty or blank text has none. Rows are
+    judged each by their text.
     """
-    hit = "license string, coverage double, matched int, first_word int, last_word int"
-    schema = f"doc_id long, n_licenses int, {hit}, found array<struct<{hit.replace(' ', ':').replace(',:', ',')}>>"
-    kind = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())])
+    hit = "coverage double, matched int, first_word int, last_word int"
+    schema = f"doc_id long, n_licenses int, license string, {hit}, found array<struct<license:string,template:string,{hit.replace(', ', ',').replace(' ', ':')}>>"
+    kind = pa.struct([("license", pa.string()), ("template", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())])
+    flat = [f for f in kind if f.name != "template"]
 
     def scan(batches):
         scanner = Scanner(templates, least)
         for b in batches:
             found = [[dict(zip(kind.names, r, strict=True)) for r in scanner.scan(words_of(x.as_py()))] for x in b["data"]]
             best = [f[0] if f else {} for f in found]
-            cols = [pa.array([x.get(f.name) for x in best], f.type) for f in kind]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(len, found), pa.int32()), *cols, pa.array(found, pa.list_(kind))], ["doc_id", "n_licenses", *kind.names, "found"])
+            cols = [pa.array([x.get(f.name) for x in best], f.type) for f in flat]
+            many = pa.array([len({x["license"] for x in f}) for f in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], many, *cols, pa.array(found, pa.list_(kind))], ["doc_id", "n_licenses", *[f.name for f in flat], "found"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
     return materialise(rows.mapInArrow(scan, schema), "licenses")

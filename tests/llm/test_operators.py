@@ -377,6 +377,34 @@ def test_licenses(spark, docs, empty):
     assert licenses.align(list("abc"), list("xaybzc")) == [(0, 1), (1, 3), (2, 5)]
 
 
+def test_licenses_of_genuine_notices(spark):
+    """Notices and texts as they stand in files, none of them in the generated documents."""
+    gpl2 = """/* This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version. */"""
+    gpl3 = gpl2.replace("software;", "software:").replace("Foundation;", "Foundation,").replace("version 2", "version 3")
+    lgpl = gpl2.replace("program", "library").replace("General", "Lesser General").replace("version 2", "version 2.1")
+    by_sa = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."
+    mit, bsd, whole = ("Copyright (c) 1991 A. Body\n\n" + licenses.TEMPLATES[f"{n}#text"] for n in ("MIT", "BSD-3-Clause", "GPL-3.0"))
+    other = bsd.replace("copyright holder", "University").replace("COPYRIGHT HOLDERS", "REGENTS")
+    edited = whole.split()
+    del edited[700:1000], edited[3000:3200]
+    apache = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""
+    texts = [gpl3, gpl2, lgpl, by_sa, mit, other, whole, " ".join(edited), f"{by_sa} {gpl3}\n{gpl3}\n{mit}\n{mit}\n tea {mit}\n{by_sa}", apache, f"{whole}\n{mit}\n{whole}"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    names = {i: sorted({(x["license"], x["template"]) for x in r["found"]}) for i, r in got.items()}
+    assert [got[i]["license"] for i in range(5)] == ["GPL-3.0", "GPL-2.0", "LGPL-2.1", "CC-BY-SA-4.0", "MIT"] and all(got[i]["n_licenses"] == 1 for i in range(5))
+    assert names[4] == [("MIT", "text")] and ("BSD-3-Clause", "text") in names[5] and names[6] == names[7] == [("GPL-3.0", "text")]
+    assert got[6]["coverage"] == 1 and got[6]["matched"] > 5000 and 0.8 <= got[7]["coverage"] < 0.95
+    assert Counter(x["license"] for x in got[8]["found"]) == {"CC-BY-SA-4.0": 2, "GPL-3.0": 2, "MIT": 3} and got[8]["n_licenses"] == 3
+    assert got[9]["license"] == "Apache-2.0" and [x["matched"] > 5000 for x in got[10]["found"]].count(True) == 2 and Counter(x["license"] for x in got[10]["found"])["MIT"] == 1
+    for r in got.values():
+        spans = sorted((x["first_word"], x["last_word"]) for x in r["found"])
+        assert all(a[1] < b[0] for a, b in itertools.pairwise(spans))
+
+
 def sets_of(rows, width):
     out = []
     for r in rows:
