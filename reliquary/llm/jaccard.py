@@ -34,6 +34,8 @@ LIGHT = 2
 BROADCAST_ROWS = 500_000
 #: Rounds of stars in either kind of buckets, before pairs across components are listed.
 ROUNDS = 3
+#: Nodes of a bucket that are paired in one task, where all links are listed.
+BLOCK = 500
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -218,15 +220,9 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, th, n_shingles, component_id.
-
-    Two documents link when the Jaccard similarity of their sets of `width`-word shingles is at
-    least num / den; component_id is the smallest doc_id reachable by links, its own included. A
-    text of fewer words is one shingle, the whole sequence; a null, empty or blank text has none
-    and links with nothing. Rows that repeat an id count by their texts; null ids never name a
-    component unless it has no other. An empty table gives an empty result.
-    """
+def _prepared(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, int, DataFrame, DataFrame]:
+    """made (doc_id, th, n, node, check), classes (node, first, copies), how many documents have
+    shingles, buckets (sig, node, pivot) and the sets (node, n, set) of their nodes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.encode(text, "utf-8").alias("data"))
     for seed in range(8):
@@ -255,14 +251,36 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
 
     chosen = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(_small(one), ["doc_id", "th"]).select("node", "data")
     sets = materialise(chosen.mapInArrow(write_sets, "node long, n long, set array<long>"), "node-sets")
+    return made, classes, total, buckets, sets
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, linked) of the pairs whose sizes allow it."""
     sizes = sets.select("node", "n")
+    sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+    sized = sized.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).select("a", "b")
+    full = sized.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    return materialise(full.mapInArrow(_verify(num, den), "a long, b long, linked boolean"), "linked")
+
+
+def _named(made: DataFrame, classes: DataFrame, labels: DataFrame, total: int, *more: str) -> DataFrame:
+    """Each document's row of made with the smallest id of its component, and more columns of classes."""
+    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    by_node = named.join(smallest, "label").select("node", "copies", "component_id", *more)
+    return skew_lookup(made.where("node is not null").select("doc_id", "th", "n", "node"), by_node, ["node"], "copies", total)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) of the pairs whose sizes allow it."""
-        sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-        sized = sized.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).select("a", "b")
-        full = sized.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        return materialise(full.mapInArrow(_verify(num, den), "a long, b long, linked boolean"), "linked")
+
+def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row per document: doc_id, th, n_shingles, component_id.
+
+    Two documents link when the Jaccard similarity of their sets of `width`-word shingles is at
+    least num / den; component_id is the smallest doc_id reachable by links, its own included. A
+    text of fewer words is one shingle, the whole sequence; a null, empty or blank text has none
+    and links with nothing. Rows that repeat an id count by their texts; null ids never name a
+    component unless it has no other. An empty table gives an empty result.
+    """
+    made, classes, total, buckets, sets = _prepared(docs, width, num, den)
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -288,7 +306,7 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         """Whether any of the pairs is linked."""
         nonlocal edges, tried, labels
         pairs = materialise(ordered(pairs), "pairs")
-        new = linked(pairs).where("linked").select("a", "b")
+        new = _linked(pairs, sets, num, den).where("linked").select("a", "b")
         edges, tried = (new, pairs) if edges is None else (edges.unionByName(new), tried.unionByName(pairs))
         found = not new.isEmpty()
         labels = None if found else labels
@@ -320,14 +338,54 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         across = open_.join(other, "bucket").where("label < label_b and n <= most_n_b and n_b <= most_n")
         compare(untried(ordered(across.select(F.col("node").alias("a"), F.col("node_b").alias("b")))))
     labels = connected()
-    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_node = named.join(smallest, "label").select("node", "copies", "component_id")
-    out = skew_lookup(made.where("node is not null").select("doc_id", "th", "n", "node"), by_node, ["node"], "copies", total)
+    out = _named(made, classes, labels, total)
     alone = made.where("node is null").select("node", "doc_id", "th", "n", F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
 
 
+def _pairs(rare: DataFrame) -> DataFrame:
+    """(a, b), a < b, once each: nodes that share a bucket and may be similar by their sizes. Large
+    buckets are cut into blocks of about BLOCK nodes, and each two blocks meet in a task of their own."""
+    size = rare.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    cut = rare.join(size, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = materialise(cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
+    left = cut.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "most_n")])
+    right = cut.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "most_n")])
+    met = left.join(right, ["bucket", "i", "j"]).where("(i < j or node_a < node_b) and n_a <= most_n_b and n_b <= most_n_a")
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def similar_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links: (set_a, set_b, doc_a, doc_b), and (doc_id, th, n_shingles, set, set_id, component_id, n_links).
+
+    The first has one row for each two linked sets, as each set is there once however many
+    documents have it: their hashes, set_a < set_b, and the smallest doc_id of either. The second has
+    one row per document: its set's hash and smallest doc_id (set_id), its component as in
+    similar_documents, and how many other rows it links with, those with an equal set included. A
+    text without shingles has no set, is its own set_id and links with nothing.
+
+    Candidates are the nodes that share a signature with any other, paired by their rarest shingles;
+    all of these pairs are verified. Unlike the class ids alone this grows with the number of links.
+    """
+    made, classes, total, _, sets = _prepared(docs, width, num, den)
+    sets = materialise(sets.dropDuplicates(["node"]), "sets")
+    rare = _by_rarest(sets, num, den)
+    pairs = materialise(_pairs(rare), "pairs")
+    drop_shuffles(docs.sparkSession)
+    edges = _linked(pairs, sets, num, den).where("linked").select("a", "b")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    copies = classes.select(F.col("node").alias("b"), F.col("copies").alias("times"))
+    beside = both.join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("times").alias("beside"))
+    counted = classes.join(beside, "node", "left").withColumn("n_links", F.coalesce("beside", F.lit(0)) + F.col("copies") - 1)
+    members = _named(made, materialise(counted, "counted"), components(edges), total, F.col("first").alias("set_id"), "n_links")
+    columns = ["doc_id", "th", F.col("n").alias("n_shingles"), F.col("node").alias("set"), "set_id", "component_id", "n_links"]
+    own = F.col("doc_id")
+    alone = made.where("node is null").withColumns({"set_id": own, "component_id": own, "n_links": F.lit(0).cast("long")})
+    first = classes.select("node", "first")
+    links = edges.join(first.toDF("a", "doc_a"), "a").join(first.toDF("b", "doc_b"), "b")
+    return links.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), "doc_a", "doc_b"), members.select(*columns).unionByName(alone.select(*columns))
+
+
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents of which none with a smaller id links to them, with all their columns; of rows
     that repeat an id with the same text, all stay or none."""
@@ -354,3 +412,13 @@ WITH RECURSIVE w AS (
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id"""
+
+#: Of similar_links' second table.
+LINKS_ORACLE = ORACLE[: ORACLE.index("SELECT d.doc_id,")] + r"""
+, k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a
+), e AS (
+  SELECT a, min(b) AS first FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE common = x.n AND common = y.n GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(e.first, d.doc_id)) AS set_id, m.c AS component_id, coalesce(k.n_links, 0) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
+LEFT JOIN k ON k.a = d.doc_id LEFT JOIN e ON e.a = d.doc_id"""

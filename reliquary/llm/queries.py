@@ -62,11 +62,15 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_documents(spark, sf_dir), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_links(_documents(spark, sf_dir), width=4, num=85, den=100)[1].select("doc_id", "n_shingles", "set_id", "component_id", "n_links")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_packing, op4_lm_scoring, op5_exact_dedup, op6_mixing, op7_quality, op8_license_scan, op9_jaccard, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_packing, op4_lm_scoring, op5_exact_dedup, op6_mixing, op7_quality, op8_license_scan, op9_jaccard, op9_links, op10_url_filters)}
 
 OP5_SQL = f"""
 WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS h FROM documents)
@@ -74,4 +78,4 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, h AS text_sha256
 FROM n WINDOW g AS (PARTITION BY h)"""
 
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op5_exact_dedup": OP5_SQL, "op6_mixing": mixing.oracle(), "op9_jaccard": jaccard.ORACLE, "op10_url_filters": url_filter.oracle()}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE, "op5_exact_dedup": OP5_SQL, "op6_mixing": mixing.oracle(), "op9_jaccard": jaccard.ORACLE, "op9_links": jaccard.LINKS_ORACLE, "op10_url_filters": url_filter.oracle()}

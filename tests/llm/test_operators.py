@@ -439,6 +439,34 @@ def test_jaccard(docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id = 16").count() == 0 and kept.where("doc_id = 15").count() == 1
 
 
+def test_jaccard_lists_every_link(spark, docs, empty, monkeypatch):
+    """All verified pairs of different sets and each row's number of links, also if buckets are cut into blocks."""
+    for width, num, block in ((4, 85, 500), (5, 80, 4)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        sets, ids = sets_of(ROWS, width), defaultdict(set)
+        alike = lambda x, y: x and y and 100 * len(x & y) >= num * len(x | y)
+        for r, x in zip(ROWS, sets, strict=True):
+            ids[frozenset(x)].add(r[0])
+        first = {x: min((i for i in d if i is not None), default=None) for x, d in ids.items()}
+        pairs = sorted((sorted((first[x], first[y]), key=repr) for x, y in itertools.combinations(ids, 2) if alike(x, y)), key=repr)
+        comp = components_expected(ROWS, width, num, 100)
+        want = [(*c, first[frozenset(x)] if x else c[0], sum(bool(alike(x, y)) for y in sets) - bool(x)) for c, x in zip(comp, sets, strict=True)]
+        links, members = jaccard.similar_links(docs, width, num, 100)
+        assert sorted((sorted(r, key=repr) for r in links.select("doc_a", "doc_b").collect()), key=repr) == pairs and len(pairs) > 40
+        assert links.where("set_a >= set_b").count() == 0
+        assert found(members, "doc_id", "n_shingles", "component_id", "set_id", "n_links") == sorted(want, key=repr)
+    assert [x.count() for x in jaccard.similar_links(empty)] == [0, 0]
+
+
+def test_jaccard_links_tell_chains_from_groups(spark):
+    """Of a chain each document links with its neighbours only, of a tight group with all; both are one component."""
+    w = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(w[12 * i : 12 * i + 200])) for i in range(12)] + [(100 + i, " ".join(["group"] * 2 + [f"g{j}" for j in range(200)] + [f"end{i}"])) for i in range(12)]
+    got = {r["doc_id"]: r for r in jaccard.similar_links(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)[1].collect()}
+    assert {got[i]["component_id"] for i in range(12)} == {0} and [got[i]["n_links"] for i in range(12)] == [1] + [2] * 10 + [1]
+    assert {got[100 + i]["component_id"] for i in range(12)} == {100} and {got[100 + i]["n_links"] for i in range(12)} == {11}
+
+
 def test_jaccard_finds_chains_of_edits(spark, monkeypatch):
     """Documents that drift: only neighbours link, buckets hold several components for a while."""
     rng = random.Random(9)
