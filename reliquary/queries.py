@@ -619,6 +619,31 @@ def conversations_as(spark, sf, build) -> DataFrame:
     return mapped(rows, "source_id string, name string, content binary", lambda r: [{"source_id": str(r["conv_id"]), "name": "disk.img", "content": build(to_files(r))}])
 
 
+def conversations_on(spark, sf, disks_of) -> DataFrame:
+    """source_id (conv_id/number of the disk), name, content of the disks of each conversation: disks_of(list of files)."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", F.encode("text", "utf-8").alias("data"))))
+    rows = table(spark, sf, "conversations").where("text <> ''").groupBy("conv_id").agg(turns.alias("turns"))
+
+    def to_disks(r):
+        files, names = [], set()
+        for i, t in enumerate(r["turns"]):  # a turn that is there twice is two files
+            name = f"T{t['turn']}" if f"T{t['turn']}" not in names else f"T{t['turn']}.{i}"
+            names.add(name)
+            files.append(containers.file(name=name, data_fork=t["data"], type_code="TEXT", creator_code="ttxt"))
+        for k, disk in enumerate(disks_of(files)):
+            yield {"source_id": f"{r['conv_id']}/{k}", "name": "disk.img", "content": disk}
+
+    return mapped(rows, "source_id string, name string, content binary", to_disks)
+
+
+def joined(files: DataFrame) -> DataFrame:
+    """Files of conversations_on, those put together that go on at a next disk; source_id is the conversation's."""
+    place = F.split("source_id", "/")
+    parts = files.select(place[0].alias("source_id"), place[1].cast("int").alias("disk"), "ordinal", "name", "data_fork", "error")
+    whole = parts.groupBy("source_id", "name", "error").agg(F.sort_array(F.collect_list(F.struct("disk", "ordinal", "data_fork"))).alias("parts"))
+    return whole.select("source_id", "name", "error", F.aggregate("parts", F.lit(b""), lambda data, p: F.concat(data, F.coalesce(p["data_fork"], F.lit(b"")))).alias("data_fork"))
+
+
 def turns_of(files: DataFrame) -> DataFrame:
     return files.select(F.col("source_id").cast("long").alias("conv_id"), F.regexp_extract("name", r"T(\d+)", 1).cast("long").alias("turn"), F.sha2(F.regexp_replace(F.col("data_fork").cast("string"), r"[\x00\x1A]+$", ""), 256).alias("sha256"), F.octet_length("data_fork").alias("size"), "error")
 
@@ -635,15 +660,24 @@ def volume_query(name: str, build, size: str, reader: str = "image") -> None:
     query(_turns(size))(run)
 
 
+def disks_query(name: str, disks_of, size: str, reader: str = "volume") -> None:
+    """As volume_query, on as many disks as a conversation needs."""
+    def run(spark, sf):
+        return turns_of(joined(read_files(conversations_on(spark, sf, disks_of), reader)))
+
+    run.__name__ = name
+    query(_turns(size))(run)
+
+
 volume_query("volume_mfs", lambda f: volumes.write_mfs("Talk", f), "n")
 volume_query("volume_prodos", lambda f: volumes.write_prodos("TALK", f), "n")
-volume_query("volume_dos33", volumes.write_dos, "(n + 255) // 256 * 256", "volume")
-volume_query("volume_dos32", lambda f: volumes.write_dos(f, 13), "(n + 255) // 256 * 256", "volume")
+disks_query("volume_dos33", volumes.dos_disks, "(n + 255) // 256 * 256")
+disks_query("volume_dos32", lambda f: volumes.dos_disks(f, 13), "(n + 255) // 256 * 256")
 volume_query("volume_cpm", volumes.write_cpm, "(n + 127) // 128 * 128", "volume")
 volume_query("volume_pascal", lambda f: volumes.write_pascal("TALK", f), "n")
 volume_query("volume_rdos", volumes.write_rdos, "n", "volume")
-volume_query("volume_gutenberg", volumes.write_gutenberg, "(n + 249) // 250 * 250", "volume")
-volume_query("hybrid_disk", volumes.write_dos, "(n + 255) // 256 * 256", "hybrid")
+disks_query("volume_gutenberg", volumes.gutenberg_disks, "(n + 249) // 250 * 250")
+disks_query("hybrid_disk", volumes.dos_disks, "(n + 255) // 256 * 256", "hybrid")
 volume_query("image_diskcopy", lambda f: disks.write_disk_copy("Talk", volumes.write_pascal("TALK", f), b"tag!" * 6), "n")
 volume_query("image_2img", lambda f: disks.write_two_img(volumes.write_prodos("TALK", f)), "n")
 volume_query("image_dart", lambda f: disks.write_dart(volumes.write_pascal("TALK", f)), "n")
@@ -664,7 +698,7 @@ def probe_images(spark, sf):
 
 
 def _mixed_volume(files):
-    writers = (lambda f: volumes.write_mfs("T", f), lambda f: volumes.write_prodos("T", f), volumes.write_dos, volumes.write_cpm, lambda f: volumes.write_pascal("T", f), volumes.write_rdos, volumes.write_gutenberg, lambda f: volumes.write_dos(f, 13))
+    writers = (lambda f: volumes.write_mfs("T", f), lambda f: volumes.write_prodos("T", f), lambda f: volumes.dos_disks(f)[0], volumes.write_cpm, lambda f: volumes.write_pascal("T", f), volumes.write_rdos, lambda f: volumes.gutenberg_disks(f)[0], lambda f: volumes.dos_disks(f, 13)[0])
     return writers[len(files) % 8](files)
 
 

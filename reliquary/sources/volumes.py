@@ -22,6 +22,24 @@ def _seven_bit(raw: bytes) -> str:
     return bytes(b & 0x7F for b in raw).decode("ascii").strip(" \0")
 
 
+def _dealt(files: list[dict], room: int, most: int, unit: int, cost) -> list[list[dict]]:
+    """Files dealt to disks of `room` sectors and `most` files each, in order. A file that no disk
+    holds goes on as the first of the next disk, under the same name. cost(n): the sectors that n
+    sectors of `unit` bytes take."""
+    out, left = [[]], room
+    for f in files:
+        rest, first = f["data_fork"], True
+        while rest or first:
+            n = -(-len(rest) // unit)
+            if out[-1] and (cost(n) > left or len(out[-1]) == most):
+                out, left = [*out, []], room
+            while cost(n) > left:
+                n -= 1
+            out[-1].append(f | {"data_fork": rest[: n * unit]})
+            rest, left, first = rest[n * unit :], left - cost(n), False
+    return out
+
+
 # MFS
 
 
@@ -295,7 +313,16 @@ def read_dos(data: bytes) -> list[dict]:
     return out
 
 
+def dos_disks(files: list[dict], per_track: int = 16) -> list[bytes]:
+    """As many disks as the files need."""
+    dealt = _dealt(files, 31 * per_track, 7 * (per_track - 1), SECTOR, lambda n: n + max(1, -(-n // 122)))
+    return [write_dos(f, per_track) for f in dealt]
+
+
 def write_dos(files: list[dict], per_track: int = 16) -> bytes:
+    lists = [max(1, -(-len(f["data_fork"]) // (122 * SECTOR))) for f in files]
+    if len(files) > 7 * (per_track - 1) or sum(-(-len(f["data_fork"]) // SECTOR) for f in files) + sum(lists) > 31 * per_track:
+        raise ContainerError("unsupported format", "the files need several disks")
     disk = bytearray(35 * per_track * SECTOR)
     free = [(t, s) for t in [*range(18, 35), *range(3, 17)] for s in range(per_track)]
     put = lambda t, s, b: disk.__setitem__(slice((t * per_track + s) * SECTOR, (t * per_track + s + 1) * SECTOR), b.ljust(SECTOR, b"\0"))
@@ -512,7 +539,18 @@ def read_gutenberg(data: bytes) -> list[dict]:
     return out
 
 
+#: Sectors of track 17 that hold a Gutenberg directory, in the order of its chain.
+_GUTENBERG_DIRECTORY = [*range(7, 16), *range(7)]
+
+
+def gutenberg_disks(files: list[dict]) -> list[bytes]:
+    """As many disks as the files need."""
+    return [write_gutenberg(f) for f in _dealt(files, 17 * 16, 15 * len(_GUTENBERG_DIRECTORY) - 1, 250, lambda n: max(1, n))]
+
+
 def write_gutenberg(files: list[dict]) -> bytes:
+    if len(files) >= 15 * len(_GUTENBERG_DIRECTORY) or sum(max(1, -(-len(f["data_fork"]) // 250)) for f in files) > 17 * 16:
+        raise ContainerError("unsupported format", "the files need several disks")
     disk, free = bytearray(143_360), [(t, s) for t in range(18, 35) for s in range(16)]
     high = lambda s, n: bytes(b | 0x80 for b in s.encode("ascii")[:n].ljust(n))
     rows = [high("DIR", 12) + bytes([0xA0, 17 | 0x80, 7 | 0x80, 0xA0])]
@@ -524,8 +562,12 @@ def write_gutenberg(files: list[dict]) -> bytes:
             disk[(t * 16 + s) * SECTOR : (t * 16 + s + 1) * SECTOR] = bytes([*places[i - 1], t, s, *after]) + p
         t, s = places[0]
         rows.append(high(f["name"], 12) + bytes([0xA0 if f["type_code"] != "PRG" else 0xD0, t | 0x80, (s or 0x40) | 0x80, 0xA0]))
-    at = (17 * 16 + 7) * SECTOR
-    disk[at : at + SECTOR] = bytes([17, 7, 17, 7, 17 | 0x80, 7]) + bytes(10) + b"".join(rows[:15]).ljust(240, b"\xa0")
+    groups = [rows[i : i + 15] for i in range(0, len(rows), 15)]
+    chain = _GUTENBERG_DIRECTORY[: len(groups)]
+    for i, (s, g) in enumerate(zip(chain, groups, strict=True)):
+        after = (17, chain[i + 1]) if i + 1 < len(chain) else (17 | 0x80, chain[0])
+        at = (17 * 16 + s) * SECTOR
+        disk[at : at + SECTOR] = bytes([17, chain[i - 1], 17, s, *after]) + bytes(10) + b"".join(g).ljust(240, b"\xa0")
     return bytes(disk)
 
 

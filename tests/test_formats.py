@@ -117,6 +117,27 @@ def test_volumes():
     assert V.filesystem_of(bytes(2048)) == "unknown" and V.filesystem_of(bytes(1024) + b"BD" + bytes(100)) == "hfs"
 
 
+def test_many_and_large_files_fill_several_disks():
+    many = [a_file(f"T{i}", b"turn %d " % i * (i + 1), b"") for i in range(40)]
+    want = [(f["name"], f["data_fork"]) for f in many]
+    assert [(f["name"], f["data_fork"].rstrip(b"\0")) for f in V.read_gutenberg(V.write_gutenberg(many))] == want
+    large = rng.randbytes(299_999) + b"!"
+    crowd = [a_file(f"F{i}", b"%d" % i, b"") for i in range(600)]
+    for files in (many, [*many, a_file("LARGE", large, b""), *many[:3]], crowd, []):
+        for disks, read, unit in ((V.gutenberg_disks(files), V.read_gutenberg, 250), (V.dos_disks(files), V.read_dos, 256), (V.dos_disks(files, 13), V.read_dos, 256)):
+            got = []
+            for f in (f for d in disks for f in read(d)):
+                if got and got[-1][0] == f["name"]:
+                    got[-1][1] += f["data_fork"]
+                else:
+                    got.append([f["name"], f["data_fork"]])
+            assert got == [[f["name"], f["data_fork"] + bytes(-len(f["data_fork"]) % unit)] for f in files]
+            assert len(disks) == 1 or len(files) > 40
+    for write in (V.write_gutenberg, V.write_dos):
+        with pytest.raises(W.ContainerError):
+            write([a_file("LARGE", large, b"")])
+
+
 def test_images_and_partitions():
     volume = V.write_pascal("DISK", FILES)
     assert D.image_format(D.write_disk_copy("Disk", volume, b"t" * 24)) == "diskcopy"

@@ -53,3 +53,18 @@ def test_plans_prune_and_push(spark, sf):
     """Listing reads no more columns than it shows, and filters reach the scan."""
     text = queries.table(spark, sf, "documents").where("doc_id = 42").select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,42)" in text and "text" not in text.split("ReadSchema")[1]
+
+
+def test_long_conversations_keep_every_turn(spark, tmp_path):
+    """40 turns, a turn of 300 KB, a turn that is there twice."""
+    turns = [(1, i, f"turn {i} " * (i + 1)) for i in range(40)] + [(2, 0, "first"), (2, 1, "0123456789ä" * 28_000), (2, 2, "last"), (3, 7, "one"), (3, 7, "two")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("volume_gutenberg", "volume_dos33", "volume_dos32", "hybrid_disk"):
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        want = con.sql(queries.SQL[name])
+        assert rows_of(df.columns, df.collect()) == rows_of(want.columns, want.fetchall())
+    turns = [(n, i, "0123456789" * 30_000 if i == 1 else f"turn {i}") for n in (2, 6, 7) for i in range(n)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/large/conversations.parquet")
+    assert {r[0]: r[1] for r in queries.probe_filesystems(spark, f"{tmp_path}/large").collect()} == {2: "dos33", 6: "gutenberg", 7: "dos33"}
