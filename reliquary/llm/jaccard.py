@@ -7,23 +7,23 @@ into second-level ones; every subset that leaves one second-level partition out
 similar sets share a signature, whatever their differences.
 
 Copies with equal sets are one node. Rows (signature, node) are partitioned by signature, sorted
-and streamed; nodes of a bucket are held against its smallest node first. Buckets whose nodes are
-connected by then need no more work. The nodes of the others are bucketed anew, by the rarest of
-their shingles: of two similar sets, each has so many that one of them is in both (a prefix filter,
-which text that many documents share doesn't pass). There, too, stars come first, and then only
-pairs across components are compared, all of them.
+and streamed; the smallest node of a bucket is its pivot. All buckets with the same pivot make one
+group, so nodes that share dozens of signatures meet in a few groups, and nodes that share any meet
+in one at least. Groups are cut into blocks, and each two blocks of a group meet in a task of their
+own. There two nodes are compared in the smallest of the groups they share and in no other. A task
+returns no pairs: it says how many links each node has there and which nodes hang together, a row
+for each node it got. So every link is verified once, and none is listed unless it is asked for.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_shuffles, materialise, skew_lookup
+from .shared import fresh, materialise, skew_lookup
 
 U = np.uint64
 #: Second-level partitions of each first-level one; a signature leaves one of them out.
@@ -32,10 +32,20 @@ SECOND = 3
 LIGHT = 2
 #: A table of nodes is broadcast up to this many rows of under 100 bytes each.
 BROADCAST_ROWS = 500_000
-#: Rounds of stars in either kind of buckets, before pairs across components are listed.
-ROUNDS = 3
-#: Nodes of a bucket that are paired in one task, where all links are listed.
-BLOCK = 500
+#: Nodes in a block, and elements of their sets, about; a set with more elements is a block of its own.
+BLOCK, ELEMENTS = 500, 2_000_000
+#: Bytes of text that are hashed together.
+CHUNK = 1 << 19
+#: Rows of one bucket that are held until its smallest node is taken as known.
+HELD = 1 << 20
+#: Bytes of a word whose places are told apart by a table, a power of two; later ones take one more step.
+PLACES = 64
+#: The id that stands for null where rows are looked up.
+NO_ID = -(2**63)
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,28 +54,95 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
-
-
-_hashes = _WordHashes()
+_BYTES = _mix(np.arange(1, PLACES * 256 + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+
+
+def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the texts data[cuts[i] : cuts[i + 1]]: the hash of every word, A-Z lower-cased, and the words of each text."""
+    letter = ~_GAP[data]
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    edges = cuts[:-1][np.diff(cuts) > 0]
+    begins[edges] = letter[edges]
+    counts = np.diff(np.searchsorted(np.flatnonzero(begins), cuts))
+    at = np.flatnonzero(begins[letter])
+    if not len(at):
+        return np.empty(0, U), counts
+    letters = _LOWER[data[letter]]
+    sizes = np.diff(np.append(at, len(letters)))
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(at.astype(np.int32), sizes)
+    h = _BYTES[((place & (PLACES - 1)) << 8) | letters]
+    if sizes.max() > PLACES:
+        far = place >= PLACES
+        h[far] = _mix(h[far] + (place[far] // PLACES).astype(U) * U(0xD6E8FEB86659FD93))
+    return _mix(np.add.reduceat(h, at) + sizes.astype(U)), counts
+
+
+def _long_words(data: np.ndarray) -> np.ndarray:
+    """The words of one long text, a chunk at a time, cut between words."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + CHUNK
+        while end < len(data) and not (gaps := _GAP[data[end : end + CHUNK]]).any():
+            end += CHUNK
+        end = len(data) if end >= len(data) else end + int(gaps.argmax())
+        out.append(_words(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(out)
+
+
+def _shingled(words: np.ndarray, counts: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles, one text after the other, and how many each has."""
+    factor = _mix(np.arange(1, width + 2, dtype=U) + U(seed * 1000003)) | U(1)
+    ends = np.cumsum(counts)
+    sizes = np.where(counts >= width, counts - width + 1, counts > 0)
+    out, whole = np.empty(sizes.sum(), U), np.repeat(counts >= width, sizes)
+    at = np.flatnonzero(np.repeat(ends, counts) - np.arange(len(words)) >= width)
+    h = np.zeros(len(at), U)
+    for i in range(width):
+        h += words[at + i] * factor[i]
+    out[whole] = _mix(h)
+    few = (counts > 0) & (counts < width)  # these have one shingle, all their words
+    short = np.zeros(few.sum(), U)
+    for i in range(width - 1):
+        has = counts[few] > i
+        short[has] += words[(ends - counts)[few][has] + i] * factor[i]
+    out[~whole] = _mix(short + counts[few].astype(U) * factor[width])
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    for a, n in zip(starts.tolist(), sizes[sizes > 0].tolist(), strict=True):
+        if n > 1:
+            out[a : a + n].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[starts] = True
+    sizes[sizes > 0] = np.add.reduceat(keep, starts, dtype=np.int64) if len(starts) else 0
+    return out[keep], sizes
 
 
 def shingles(data: bytes, width: int, seed: int = 0) -> np.ndarray:
     """Sorted distinct hashes of the text's word shingles, A-Z lower-cased; the whole sequence if it has fewer words."""
-    words = data.lower().split()
-    if not words:
-        return np.empty(0, U)
-    if len(_hashes) > 400_000:
-        _hashes.clear()
-    w = np.fromiter(map(_hashes.__getitem__, words), U, len(words))
-    n = min(width, len(w))
-    h = np.full(len(w) - n + 1, U(seed * 2 + 1) * U(0x9E3779B97F4A7C15) + U(n))
-    for i in range(n):
-        h = _mix(h ^ w[i : len(w) - n + 1 + i]) + U(i)
-    return np.unique(h)
+    text = np.frombuffer(data, np.uint8)
+    words, counts = _words(text, np.array([0, len(text)]))
+    return _shingled(words, counts, width, seed)[0]
+
+
+def _texts(column: pa.Array):
+    """(first row, row after the last, bytes, cuts) of stretches of about CHUNK bytes; longer texts are alone."""
+    column = column.cast(pa.large_binary())
+    _, cuts, data = column.buffers()
+    cuts = np.frombuffer(cuts, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data, at = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + CHUNK, side="right")) - 1)
+        yield at, to, data[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at]
+        at = to
+
+
+def _sets_of(column: pa.Array, width: int, seed: int):
+    """(first row, row after the last, elements, sizes) of the texts' sets."""
+    for at, to, data, cuts in _texts(column):
+        words, counts = (w := _long_words(data), np.array([len(w)])) if len(data) > CHUNK else _words(data, cuts)
+        yield at, to, *_shingled(words, counts, width, seed)
 
 
 class PartEnum:
@@ -74,58 +151,68 @@ class PartEnum:
     def __init__(self, num: int, den: int):
         self.num, self.den, self.bounds = num, den, [1]
 
-    def band(self, n: int) -> int:
+    def bands(self, sizes: np.ndarray) -> np.ndarray:
         """Bands [bounds[i], bounds[i + 1]); similar sets are in one band or in two neighbouring ones."""
-        while self.bounds[-1] <= n:
+        while len(self.bounds) < 4 or self.bounds[-3] <= sizes.max(initial=1):
             self.bounds.append(self.bounds[-1] * self.den // self.num + 1)
-        return int(np.searchsorted(self.bounds, n, side="right")) - 1
-
-    def differences(self, band: int) -> int:
-        """Most elements that only one of two similar sets has, if none is larger than the band allows."""
-        self.band(self.bounds[-1] if band + 1 >= len(self.bounds) else 1)
-        return (self.den - self.num) * 2 * (self.bounds[band + 1] - 1) // (self.den + self.num)
+        return np.searchsorted(self.bounds, sizes, side="right") - 1
 
-    def signatures(self, h: np.ndarray) -> np.ndarray:
-        """For the set's own band, and for the next, where sets of that band look for it.
+    def enumerate(self, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures of many sets, none empty, and the number of the set each belongs to: those
+        of its own band, and those of the next, where sets of that band look for it.
 
         There are a tenth more first-level partitions than needed, so similar sets agree in that
         many more. A set in which no more of them than that have a light signature needn't give
         light ones out: it agrees in another partition too, and what agrees is as heavy in both
-        sets. Sets with more light ones give out all they have.
+        sets. Sets with more light ones give out all they have. In bands that allow no difference
+        similar sets are equal, and their one signature is the whole set.
         """
-        own, out = self.band(len(h)), []
+        own, out, owners = self.bands(sizes), [], []
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         for band in (own, own + 1):
-            k = self.differences(band)
-            spare = (k // 2 + 1) // 10 + 1 if k else 0
-            first, second = (k // 2 + 1 + spare, SECOND) if k else (1, 1)
-            cell = (_mix(h + U(band)) % U(first * second)).astype(np.int64)
-            sums = np.zeros(first * second, U)
-            np.add.at(sums, cell, h)
-            sums = sums.reshape(first, second)
-            n = np.bincount(cell, minlength=first * second).reshape(first, second)
-            left_out = sums.sum(axis=1, dtype=U)[:, None] - sums if k else sums
-            light = n.sum(axis=1)[:, None] - n < LIGHT if k else n < 1
-            place = np.arange(first * second, dtype=U).reshape(first, second)
-            made = _mix(_mix(left_out) + place * U(0x9E3779B97F4A7C15) + U(band * 0xD6E8FEB86659FD93 % (1 << 64)))
-            out.append(made[~light] if light.any(axis=1).sum() <= spare else made.ravel())
-        return np.concatenate(out)
-
-
-def _node(h: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set."""
-    m = _mix(h)
-    return int(m.sum(dtype=U).view(np.int64)), int(_mix(m ^ U(0xA5A5A5A5)).sum(dtype=U).view(np.int64))
+            # Most elements that only one of two similar sets has, if none is larger than the band allows.
+            k = (self.den - self.num) * 2 * (np.array(self.bounds)[band + 1] - 1) // (self.den + self.num)
+            spare = np.where(k > 0, (k // 2 + 1) // 10 + 1, 0)
+            first = np.where(k > 0, k // 2 + 1 + spare, 1)
+            cells = first * SECOND
+            base = np.cumsum(cells) - cells
+            sums, n = np.zeros(cells.sum(), U), np.zeros(cells.sum(), np.int64)
+            for a in range(0, len(h), 1 << 20):
+                part, of = h[a : a + (1 << 20)], owner[a : a + (1 << 20)]
+                cell = base[of] + np.where(k[of] > 0, _mix(part + band[of].astype(U)) % cells[of].astype(U), 0).astype(np.int64)
+                np.add.at(sums, cell, part)
+                n += np.bincount(cell, minlength=len(n))
+            sums, n = sums.reshape(-1, SECOND), n.reshape(-1, SECOND)
+            left_out = sums.sum(axis=1, dtype=U)[:, None] - sums
+            light = n.sum(axis=1)[:, None] - n < LIGHT
+            place = np.arange(len(sums) * SECOND) - np.repeat(base, cells)
+            few = np.add.reduceat(light.any(axis=1), base // SECOND, dtype=np.int64) <= spare
+            give = np.where(np.repeat(k > 0, cells), ~(light.ravel() & np.repeat(few, cells)), place == 1)
+            tag = place.astype(U) * U(0x9E3779B97F4A7C15) + np.repeat(band, cells).astype(U) * U(0xD6E8FEB86659FD93)
+            out.append(_mix(_mix(left_out.ravel()) + tag)[give])
+            owners.append(np.repeat(np.arange(len(sizes)), cells)[give])
+        return np.concatenate(out), np.concatenate(owners)
+
+    def signatures(self, h: np.ndarray) -> np.ndarray:
+        """Those of one set."""
+        return self.enumerate(h, np.array([len(h)]))[0] if len(h) else np.empty(0, U)
+
+
+def _nodes(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each set, none of them empty."""
+    starts, m = np.cumsum(sizes) - sizes, _mix(h)
+    return np.add.reduceat(m, starts).view(np.int64), np.add.reduceat(_mix(m ^ U(0xA5A5A5A5)), starts).view(np.int64)
 
 
 def _sets(width: int, seed: int):
     def sets(batches):
         for b in batches:
-            n, node, check = [], [], []
-            for x in b["data"]:
-                h = shingles(x.as_py(), width, seed)
-                i, c = _node(h) if len(h) else (None, None)
-                n.append(len(h)), node.append(i), check.append(c)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64())], ["doc_id", "th", "n", "node", "check"])
+            for at, to, h, sizes in _sets_of(b["data"], width, seed):
+                node, check, any_ = np.zeros(to - at, np.int64), np.zeros(to - at, np.int64), sizes > 0
+                if any_.any():
+                    node[any_], check[any_] = _nodes(h, sizes[any_])
+                hashes = [pa.array(x, mask=~any_) for x in (node, check)]
+                yield pa.RecordBatch.from_arrays([b["doc_id"][at:to], b["th"][at:to], pa.array(sizes), *hashes], ["doc_id", "th", "n", "node", "check"])
 
     return sets
 
@@ -136,263 +223,273 @@ def _signatures(width: int, num: int, den: int, seed: int):
     def signatures(batches):
         method, given = PartEnum(num, den), set()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                sigs, nodes = [], []
-                for x in b["data"].slice(at, 500):
-                    h = shingles(x.as_py(), width, seed)
-                    i = _node(h)[0] if len(h) else None
-                    if i is None or i in given:
-                        continue
-                    if len(given) > 500_000:
-                        given.clear()
-                    given.add(i)
-                    sigs.append(method.signatures(h).view(np.int64))
-                    nodes.append(np.full(len(sigs[-1]), i))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+            for *_, h, sizes in _sets_of(b["data"], width, seed):
+                sizes = sizes[sizes > 0]
+                if not len(sizes):
+                    continue
+                node = _nodes(h, sizes)[0]
+                if len(given) > 500_000:
+                    given.clear()
+                new = np.zeros(len(node), bool)
+                new[[i for i, x in enumerate(node.tolist()) if x not in given and not given.add(x)]] = True
+                if new.any():
+                    sig, owner = method.enumerate(h[np.repeat(new, sizes)], sizes[new])
+                    for a in range(0, len(sig), 200_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + 200_000].view(np.int64)), pa.array(node[new][owner[a : a + 200_000]])], ["sig", "node"])
 
     return signatures
 
 
-def _buckets(batches):
-    """From sorted (sig, node): the rows of buckets with several nodes, each with the bucket's smallest node."""
-    open_sig = pivot = last = None
-    lone = True  # of the open bucket only the pivot came so far, and wasn't passed on
-    rows = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "pivot"])
+def _groups(batches):
+    """From (sig, node) sorted by sig: (node, pivot) for the buckets with several nodes."""
+    rows = lambda node, pivot: pa.RecordBatch.from_arrays([pa.array(node), pa.array(pivot)], ["node", "pivot"])
+    sig = node = np.empty(0, np.int64)  # the open bucket
+    known = None  # its sig and pivot, if it has so many rows that its first ones went out
+
+    def closed(sig, node):
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        low, size = np.minimum.reduceat(node, starts), np.diff(np.append(starts, len(sig)))
+        if known and sig[0] == known[0]:
+            low[0] = known[1]
+        several = np.repeat((np.maximum.reduceat(node, starts) != low) | (np.minimum.reduceat(node, starts) != low), size)
+        node, pivot = node[several], np.repeat(low, size)[several]
+        order = np.lexsort((node, pivot))
+        node, pivot = node[order], pivot[order]
+        once = np.append(True, (node[1:] != node[:-1]) | (pivot[1:] != pivot[:-1]))[: len(node)]
+        return rows(node[once], pivot[once])
+
     for b in batches:
-        sig, node = b["sig"].to_numpy(), b["node"].to_numpy()
+        sig, node = np.append(sig, b["sig"].to_numpy()), np.append(node, b["node"].to_numpy())
         if not len(sig):
             continue
-        keep = np.ones(len(sig), bool)  # equal rows came from copies in different tasks
-        keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        keep[0] = last != (sig[0], node[0])
-        last = (sig[-1], node[-1])
-        sig, node = sig[keep], node[keep]
-        if not len(sig):
+        open_from = int(np.searchsorted(sig, sig[-1]))
+        if open_from:
+            yield closed(sig[:open_from], node[:open_from])
+            sig, node = sig[open_from:], node[open_from:]
+        known = known if known and known[0] == sig[0] else None
+        if len(sig) > HELD:
+            low, high = int(node.min()), int(node.max())
+            if known or low != high:
+                known = known or (sig[0], low)
+                yield closed(sig, node)
+                sig, node = sig[:0], node[:0]
+            else:
+                sig, node = sig[:1], node[:1]
+    if len(sig):
+        yield closed(sig, node)
+
+
+class _Common:
+    """How many values one list has in common with each of many lists."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        self.values, starts = np.unique(values[order], return_index=True)
+        self.ends, self.n = np.append(starts, len(values)), len(sizes)
+        self.owner = np.repeat(np.arange(self.n), sizes)[order]
+
+    def counts(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.values):
+            return np.zeros(self.n, np.int64)
+        at = np.minimum(np.searchsorted(self.values, x), len(self.values) - 1)
+        at = at[self.values[at] == x]
+        n = self.ends[at + 1] - self.ends[at]
+        index = np.arange(n.sum()) + np.repeat(self.ends[at] - np.cumsum(n) + n, n)
+        return np.bincount(self.owner[index], minlength=self.n)
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and each list's length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _cut(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(sizes)[:-1])
+
+
+def _links(rows: pa.Table, num: int, den: int):
+    """(x, its partners) as places in rows, which hold two blocks of a group or one: each link once."""
+    pivot, crossed = rows["pivot"][0].as_py(), rows["i"][0] != rows["j"][0]
+    n, side = rows["n"].to_numpy(), rows["side"].to_numpy()
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if crossed else (np.arange(len(side)),) * 2
+    if not len(left) or not len(right) or len(side) < 2:
+        return
+    values, sizes = _lists(rows["set"])
+    sets = _cut(values, sizes)
+    held = _Common(np.concatenate([sets[y] for y in right]), sizes[right])
+    values, _ = _lists(rows["pivots"])
+    owner = np.repeat(np.arange(len(side)), _lists(rows["pivots"])[1])
+    owner, values = owner[values < pivot], values[values < pivot]
+    earlier = _cut(values, np.bincount(owner, minlength=len(side)))  # smaller groups that nodes are in
+    elsewhere = _Common(np.concatenate([earlier[y] for y in right]), np.array([len(earlier[y]) for y in right]))
+    for x in left.tolist():
+        both = held.counts(sets[x])
+        linked = den * both >= num * (n[x] + n[right] - both)
+        if not crossed:
+            linked[: x + 1] = False
+        if linked.any() and len(earlier[x]):
+            linked &= elsewhere.counts(earlier[x]) == 0
+        if linked.any():
+            yield x, right[linked]
+
+
+def _meetings(batches):
+    """Tables of the rows with equal (pivot, i, j), which come sorted."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
             continue
-        starts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
-        size = np.diff(np.append(starts, len(sig)))
-        piv, several = np.repeat(node[starts], size), np.repeat(size > 1, size)
-        if open_sig == sig[0]:  # the open bucket goes on
-            piv[: size[0]], several[: size[0]] = pivot, True
-            if lone:
-                yield rows(*(np.array([x], np.int64) for x in (open_sig, pivot, pivot)))
-                lone = False
-        if several.any():
-            yield rows(sig[several], node[several], piv[several])
-        if open_sig != sig[-1]:
-            open_sig, pivot, lone = sig[-1], piv[-1], size[-1] == 1
-
-
-def _verify(num: int, den: int):
-    def verify(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b["set_a"], b["set_b"], strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        key = np.stack([held[c].to_numpy() for c in ("pivot", "i", "j")])
+        starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield held.slice(a, z - a).combine_chunks()
+        held = held.slice(int(starts[-1]))
+    if held is not None:
+        yield held.combine_chunks()
 
-    return verify
 
+def _verified(num: int, den: int):
+    """(node, beside, root): rows that the node links with here, and the smallest place it hangs together with."""
 
-def _by_rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(bucket, node, n, most_n): each set's n - ceil(n * num / den) + 1 rarest elements among all of
-    these sets, those apart that no other set has. Any order that is the same for all would do.
+    def verified(batches):
+        for rows in _meetings(batches):
+            node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
+            beside, root = np.zeros(len(node), np.int64), np.arange(len(node))
+            for x, partners in _links(rows, num, den):
+                beside[x] += copies[partners].sum()
+                beside[partners] += copies[x]
+                meet = np.unique(root[np.append(partners, x)])
+                if len(meet) > 1:
+                    root[np.isin(root, meet[1:])] = meet[0]
+            some = beside > 0
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (node, beside, node[root])], ["node", "beside", "root"])
+
+    return verified
 
-    Two sets have no more in common than the elements that either shares with any set, so a similar
-    one has at most most_n elements; nodes that a bucket has no such partner for are left out.
-    """
-    rows = materialise(sets.select("node", "n", F.explode("set").alias("bucket")), "elements")
-    times = materialise(rows.groupBy("bucket").agg(F.count("*").alias("times")).where("times > 1"), "times")
-    known = skew_lookup(rows, times, ["bucket"], "times", rows.count()).where("times is not null")
-    own = Window.partitionBy("node")
-    ranked = known.withColumns({"rank": F.row_number().over(own.orderBy("times", "bucket")), "shared": F.count("*").over(own)})
-    most = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    ranked = ranked.withColumn("most_n", F.floor(F.col("shared") * (num + den) / num).cast("long") - F.col("n"))
-    ranked = materialise(ranked.where(F.col("rank") <= most - (F.col("n") - F.col("shared"))).select("bucket", "node", "n", "most_n"), "rarest")
-    least = ranked.groupBy("bucket").agg(F.min("n").alias("least_n"))
-    return materialise(ranked.join(least, "bucket").where("least_n <= most_n").drop("least_n"), "partnered")
+
+def _listed(num: int, den: int):
+    """(a, b) of every link."""
+
+    def listed(batches):
+        for rows in _meetings(batches):
+            node = rows["node"].to_numpy()
+            for x, partners in _links(rows, num, den):
+                a, b = np.minimum(node[x], node[partners]), np.maximum(node[x], node[partners])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return listed
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _prepared(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, int, DataFrame, DataFrame]:
+def _prepared(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, int, DataFrame]:
     """made (doc_id, th, n, node, check), classes (node, first, copies), how many documents have
-    shingles, buckets (sig, node, pivot) and the sets (node, n, set) of their nodes."""
+    shingles, and the rows of the meetings (pivot, i, j, side, node, n, copies, pivots, set)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.encode(text, "utf-8").alias("data"))
     for seed in range(8):
         made = materialise(rows.mapInArrow(_sets(width, seed), "doc_id long, th long, n long, node long, check long"), "nodes-of-documents")
-        classes = made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+        classes = made.where("node is not null").groupBy("node").agg(
+            F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.min(F.struct("doc_id", "th")).alias("one")
+        )
         classes = materialise(classes, "classes")
         total, clash = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.when(F.col("c1") != F.col("c2"), 1))).first()
         if not clash:  # else two sets share a 64-bit hash: take another
             break
-    # A bucket has at most one row per node, of the hundreds that each node gives out: even if it
-    # held all nodes, it would be a small part of the rows. It is streamed, not held.
+    # A bucket has at most one row per node and task, of the hundreds that each node gives out: even
+    # if it held all nodes, it would be a small part of the rows.
     signed = rows.select("data").mapInArrow(_signatures(width, num, den, seed), "sig long, node long")
-    buckets = materialise(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_buckets, "sig long, node long, pivot long"), "buckets")
-    drop_shuffles(docs.sparkSession)
+    grouped = signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_groups, "node long, pivot long")
+    members = materialise(grouped.distinct(), "members", rows=50_000)
 
-    # The sets of nodes that share a bucket, from one of each node's documents; rows that repeat
-    # it repeat its set, and a pair's answer with it.
-    nodes = buckets.select("node").distinct()
-    one = made.join(_small(materialise(nodes, "nodes")), "node").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d")).select("node", "d.*")
-    one = materialise(one.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))), "chosen")
+    # The sets of these nodes, from one of each node's documents.
+    known = classes.join(members.groupBy("node").agg(F.array_sort(F.collect_list("pivot")).alias("pivots")), "node")
+    known = materialise(known.select("node", "copies", "pivots", F.coalesce("one.doc_id", F.lit(NO_ID)).alias("doc_id"), "one.th"), "chosen")
 
     def write_sets(batches):
         for b in batches:
-            sets = [shingles(x.as_py(), width, seed) for x in b["data"]]
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", "set"])
+            for at, to, h, sizes in _sets_of(b["data"], width, seed):
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b["node"][at:to], pa.array(sizes), lists], ["node", "n", "set"])
 
-    chosen = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(_small(one), ["doc_id", "th"]).select("node", "data")
+    chosen = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(_small(known.select("node", "doc_id", "th")), ["doc_id", "th"]).select("node", "data")
     sets = materialise(chosen.mapInArrow(write_sets, "node long, n long, set array<long>"), "node-sets")
-    return made, classes, total, buckets, sets
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of the pairs whose sizes allow it."""
-    sizes = sets.select("node", "n")
-    sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    sized = sized.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).select("a", "b")
-    full = sized.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return materialise(full.mapInArrow(_verify(num, den), "a long, b long, linked boolean"), "linked")
-
-
-def _named(made: DataFrame, classes: DataFrame, labels: DataFrame, total: int, *more: str) -> DataFrame:
-    """Each document's row of made with the smallest id of its component, and more columns of classes."""
-    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if sets.count() > known.count():  # rows that repeat an id with its text
+        sets = materialise(sets.dropDuplicates(["node"]), "sets")
+
+    sized = members.join(sets.select("node", "n"), "node")
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(ELEMENTS) / F.max("n"))))
+    blocks = sized.groupBy("pivot").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    placed = members.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side")]
+    meetings = placed.select("node", "pivot", *sides).join(known.select("node", "copies", "pivots"), "node").join(sets, "node")
+    return made, classes, total, meetings.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+
+
+def _members(made: DataFrame, classes: DataFrame, total: int, found: DataFrame) -> DataFrame:
+    """(doc_id, th, n_shingles, set, set_id, component_id, n_links) of each document."""
+    labels = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    beside = found.groupBy("node").agg(F.sum("beside").alias("beside"))
+    named = classes.join(labels, "node", "left").join(beside, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = materialise(named.select("node", "first", "copies", "label", (F.coalesce("beside", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_node = named.join(smallest, "label").select("node", "copies", "component_id", *more)
-    return skew_lookup(made.where("node is not null").select("doc_id", "th", "n", "node"), by_node, ["node"], "copies", total)
+    by_node = named.join(smallest, "label").select("node", "copies", "component_id", F.col("first").alias("set_id"), "n_links")
+    columns = ["doc_id", "th", F.col("n").alias("n_shingles"), F.col("node").alias("set"), "set_id", "component_id", "n_links"]
+    out = skew_lookup(made.where("node is not null").select("doc_id", "th", "n", "node"), by_node, ["node"], "copies", total)
+    own = F.col("doc_id")
+    alone = made.where("node is null").withColumns({"set_id": own, "component_id": own, "n_links": F.lit(0).cast("long")})
+    return out.select(*columns).unionByName(alone.select(*columns))
 
 
 def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, th, n_shingles, component_id.
+    """One row per document: doc_id, th, n_shingles, set, set_id, component_id, n_links.
 
     Two documents link when the Jaccard similarity of their sets of `width`-word shingles is at
-    least num / den; component_id is the smallest doc_id reachable by links, its own included. A
-    text of fewer words is one shingle, the whole sequence; a null, empty or blank text has none
-    and links with nothing. Rows that repeat an id count by their texts; null ids never name a
+    least num / den. set and set_id are the hash of its set and the smallest doc_id that has it,
+    component_id the smallest doc_id reachable by links, its own included, and n_links how many
+    other rows it links with, those with an equal set included. A text of fewer words is one
+    shingle, the whole sequence; a null, empty or blank text has none, is its own set_id and links
+    with nothing. Rows that repeat an id count by their texts; null ids never name a set or a
     component unless it has no other. An empty table gives an empty result.
     """
-    made, classes, total, buckets, sets = _prepared(docs, width, num, den)
-
-    def ordered(df: DataFrame) -> DataFrame:
-        return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    edges = tried = labels = None  # labels: of edges, or None if there are new ones
-
-    def connected() -> DataFrame:
-        nonlocal labels
-        labels = labels or components(edges)
-        return labels
-
-    def in_open(buckets: DataFrame) -> DataFrame:
-        """(bucket, node, label, low) of buckets whose nodes aren't all connected; low: their smallest label."""
-        spread = buckets.join(connected(), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = spread.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        return materialise(spread.join(several.select("bucket", "low"), "bucket").select("bucket", "node", "label", "low"), "open")
-
-    def untried(pairs: DataFrame) -> DataFrame:
-        """Of pairs with a < b, those not compared before."""
-        return pairs.join(tried, ["a", "b"], "left_anti")
-
-    def compare(pairs: DataFrame) -> bool:
-        """Whether any of the pairs is linked."""
-        nonlocal edges, tried, labels
-        pairs = materialise(ordered(pairs), "pairs")
-        new = _linked(pairs, sets, num, den).where("linked").select("a", "b")
-        edges, tried = (new, pairs) if edges is None else (edges.unionByName(new), tried.unionByName(pairs))
-        found = not new.isEmpty()
-        labels = None if found else labels
-        return found
-
-    def stars(buckets: DataFrame, rounds: int) -> DataFrame:
-        """Each node against the most central one of its open buckets, of another component and not
-        tried before; again while that links any, some rounds at most. Central is what lies in most
-        of the open buckets: in a group of edited copies, the one nearest to their origin."""
-        state = in_open(buckets)
-        for _ in range(rounds):
-            if state.isEmpty():
-                break
-            weight = materialise(state.groupBy("node").agg(F.count("*").alias("weight")), "weights")
-            lead = state.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "label")).alias("lead"))
-            pairs = state.join(lead, "bucket").where("label <> lead.label").select("node", "lead.weight", F.col("lead.node").alias("lead")).distinct()
-            pairs = untried(pairs.select("node", "weight", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")))
-            if not compare(pairs.groupBy("node").agg(F.max(F.struct("weight", "a", "b")).alias("pair")).select("pair.a", "pair.b")):
-                break
-            state = in_open(state.select("bucket", "node"))
-        return state
-
-    compare(buckets.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b"))
-    open_ = stars(buckets.select(F.col("sig").alias("bucket"), "node").distinct(), ROUNDS)
-    if not open_.isEmpty():
-        rare = _by_rarest(sets.join(open_.select("node").distinct(), "node", "left_semi"), num, den)
-        open_ = stars(rare.select("bucket", "node"), ROUNDS).join(rare, ["bucket", "node"])
-        other = open_.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "most_n")])
-        across = open_.join(other, "bucket").where("label < label_b and n <= most_n_b and n_b <= most_n")
-        compare(untried(ordered(across.select(F.col("node").alias("a"), F.col("node_b").alias("b")))))
-    labels = connected()
-    out = _named(made, classes, labels, total)
-    alone = made.where("node is null").select("node", "doc_id", "th", "n", F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
-
-
-def _pairs(rare: DataFrame) -> DataFrame:
-    """(a, b), a < b, once each: nodes that share a bucket and may be similar by their sizes. Large
-    buckets are cut into blocks of about BLOCK nodes, and each two blocks meet in a task of their own."""
-    size = rare.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    cut = rare.join(size, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = materialise(cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
-    left = cut.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "most_n")])
-    right = cut.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "most_n")])
-    met = left.join(right, ["bucket", "i", "j"]).where("(i < j or node_a < node_b) and n_a <= most_n_b and n_b <= most_n_a")
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    made, classes, total, meetings = _prepared(docs, width, num, den)
+    found = materialise(meetings.mapInArrow(_verified(num, den), "node long, beside long, root long"), "found")
+    return _members(made, classes, total, found)
 
 
 def similar_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """All links: (set_a, set_b, doc_a, doc_b), and (doc_id, th, n_shingles, set, set_id, component_id, n_links).
+    """All links: (set_a, set_b, doc_a, doc_b), and what similar_documents returns.
 
     The first has one row for each two linked sets, as each set is there once however many
-    documents have it: their hashes, set_a < set_b, and the smallest doc_id of either. The second has
-    one row per document: its set's hash and smallest doc_id (set_id), its component as in
-    similar_documents, and how many other rows it links with, those with an equal set included. A
-    text without shingles has no set, is its own set_id and links with nothing.
-
-    Candidates are the nodes that share a signature with any other, paired by their rarest shingles;
-    all of these pairs are verified. Unlike the class ids alone this grows with the number of links.
+    documents have it: their hashes, set_a < set_b, and the smallest doc_id of either. It grows with
+    the number of links, so with the square of a group of near copies, and is computed only if used.
     """
-    made, classes, total, _, sets = _prepared(docs, width, num, den)
-    sets = materialise(sets.dropDuplicates(["node"]), "sets")
-    rare = _by_rarest(sets, num, den)
-    pairs = materialise(_pairs(rare), "pairs")
-    drop_shuffles(docs.sparkSession)
-    edges = _linked(pairs, sets, num, den).where("linked").select("a", "b")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.select(F.col("node").alias("b"), F.col("copies").alias("times"))
-    beside = both.join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("times").alias("beside"))
-    counted = classes.join(beside, "node", "left").withColumn("n_links", F.coalesce("beside", F.lit(0)) + F.col("copies") - 1)
-    members = _named(made, materialise(counted, "counted"), components(edges), total, F.col("first").alias("set_id"), "n_links")
-    columns = ["doc_id", "th", F.col("n").alias("n_shingles"), F.col("node").alias("set"), "set_id", "component_id", "n_links"]
-    own = F.col("doc_id")
-    alone = made.where("node is null").withColumns({"set_id": own, "component_id": own, "n_links": F.lit(0).cast("long")})
+    made, classes, total, meetings = _prepared(docs, width, num, den)
+    found = materialise(meetings.mapInArrow(_verified(num, den), "node long, beside long, root long"), "found")
+    pairs = meetings.mapInArrow(_listed(num, den), "a long, b long")
     first = classes.select("node", "first")
-    links = edges.join(first.toDF("a", "doc_a"), "a").join(first.toDF("b", "doc_b"), "b")
-    return links.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), "doc_a", "doc_b"), members.select(*columns).unionByName(alone.select(*columns))
+    links = pairs.join(first.toDF("a", "doc_a"), "a").join(first.toDF("b", "doc_b"), "b")
+    return links.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), "doc_a", "doc_b"), _members(made, classes, total, found)
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents of which none with a smaller id links to them, with all their columns; of rows
-    that repeat an id with the same text, all stay or none."""
+    """Of each component of similar documents the row with the smallest id, with all its columns.
+
+    Rows without a word are alone and stay. Of rows that repeat an id with the same text, all stay
+    or none; a null id stays only where its component has no other. An empty table stays empty, and
+    no name of a column of docs is taken.
+    """
     found = similar_documents(docs.select("doc_id", "text"), **how)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_rq_doc"), F.col("th").alias("_rq_text")).distinct()
-    rows = docs.withColumns({"_rq_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_rq_text": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return rows.join(keep, ["_rq_doc", "_rq_text"], "left_semi").select(*docs.columns)
+    doc, text = fresh(docs, "doc"), fresh(docs, "text_hash")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(doc), F.col("th").alias(text)).distinct()
+    rows = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return rows.join(keep, [doc, text], "left_semi").select(*docs.columns)
 
 
 ORACLE = r"""
@@ -410,10 +507,11 @@ WITH RECURSIVE w AS (
 ), r AS (
   SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a
 )
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id"""
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, coalesce(k.n_links, 0) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) k ON k.a = d.doc_id"""
 
-#: Of similar_links' second table.
+#: With the smallest doc_id of each document's set.
 LINKS_ORACLE = ORACLE[: ORACLE.index("SELECT d.doc_id,")] + r"""
 , k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a
 ), e AS (

@@ -59,11 +59,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_documents(_documents(spark, sf_dir), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+    return jaccard.similar_documents(_documents(spark, sf_dir), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op9_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_links(_documents(spark, sf_dir), width=4, num=85, den=100)[1].select("doc_id", "n_shingles", "set_id", "component_id", "n_links")
+    return jaccard.similar_documents(_documents(spark, sf_dir), width=4, num=85, den=100).select("doc_id", "n_shingles", "set_id", "component_id", "n_links")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,22 +33,30 @@ def shared_root(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows, while the jobs inside run: whole texts are large rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """Arrow batches of so many rows or 32 MB, while the jobs inside run: whole texts are large rows."""
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": "32m"}):
+        yield
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def materialise(df: DataFrame, tag: str, rows: int = 2000, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: it survives lost
-    executors, and what comes later neither recomputes it nor drags its lineage along."""
+    executors, and what comes later neither recomputes it nor drags its lineage along. Its shuffle
+    files go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/reliquary-{uuid.uuid4().hex}-{tag}"
-    with batches_of(spark, rows):
+    with batches_of(spark, rows), settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.options(**options).parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
@@ -77,6 +85,14 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does that in one pass unless it would also change a
     character outside ASCII; only such texts pay for translate(), which looks up every character."""

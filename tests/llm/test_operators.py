@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 llm = pytest.importorskip("reliquary.llm")
@@ -468,7 +469,7 @@ def test_jaccard_links_tell_chains_from_groups(spark):
 
 
 def test_jaccard_finds_chains_of_edits(spark, monkeypatch):
-    """Documents that drift: only neighbours link, buckets hold several components for a while."""
+    """Documents that drift: only neighbours link, and groups hold several components."""
     rng = random.Random(9)
     w = rng.choices(WORDS, k=220)
     rows = []
@@ -479,12 +480,52 @@ def test_jaccard_finds_chains_of_edits(spark, monkeypatch):
     rows += [(100 + i, " ".join(rng.choices(WORDS[:3], k=rng.randrange(1, 9)))) for i in range(60)]
     rng.shuffle(rows)
     want = components_expected(rows, 4, 85, 100)
-    for rounds in (3, 1):
-        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    for block, held in ((500, 1 << 20), (7, 3)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "HELD", held)
         got = found(jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 4, 85, 100), "doc_id", "n_shingles", "component_id")
         assert got == sorted(want, key=repr)
 
 
+def test_jaccard_groups_of_streamed_buckets(monkeypatch):
+    """Whatever the batches and however many rows are held, nodes of a bucket share a group, and lone ones have none."""
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(40), rng.randrange(60)) for _ in range(200)) + [(50, 7)] * 30 + [(51, 9)] * 30 + [(51, 4)]
+    nodes = defaultdict(set)
+    for sig, node in rows:
+        nodes[sig].add(node)
+    for held, step in ((1 << 20, 7), (5, 3), (1, 1), (2, 300)):
+        monkeypatch.setattr(jaccard, "HELD", held)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + step], strict=True)], ["sig", "node"]) for i in range(0, len(rows), step)]
+        groups = defaultdict(set)
+        for b in jaccard._groups(batches):
+            for node, pivot in zip(b["node"].to_pylist(), b["pivot"].to_pylist(), strict=True):
+                groups[pivot].add(node)
+        for sig, x in nodes.items():
+            assert len(x) < 2 or any(x <= g for g in groups.values()), (held, sig)
+        assert all(len(g) > 1 for g in groups.values())
+
+
+def test_jaccard_long_texts_and_words(monkeypatch):
+    """Words and texts of more bytes than are hashed at once."""
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("aBcé", k=rng.choice([1, 3, 70, 200, 5000]))) for _ in range(300))
+    want = jaccard.shingles(text.encode(), 4).tolist()
+    words = words_of(plain_lower(text))
+    assert len(want) == len({tuple(words[i : i + 4]) for i in range(len(words) - 3)}) == len(set(want))
+    texts = pa.array([b"", text.encode(), b"one", text.encode() + b" ", b"a b c d"], pa.binary())
+    for chunk in (64, 1000, 1 << 19):
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        got, at = [], 0
+        for _, _, h, sizes in jaccard._sets_of(texts, 4, 0):
+            for n in sizes.tolist():
+                got.append(h[at : at + n].tolist())
+                at += n
+            at = 0
+        assert got[1] == got[3] == want and [len(x) for x in got] == [0, len(want), 1, len(want), 1]
+    assert jaccard.shingles(b"x" * 64, 1) != jaccard.shingles(b"x" * 128, 1) and jaccard.shingles(b"xy", 1) != jaccard.shingles(b"yx", 1)
+
+
 def test_part_enum_misses_no_similar_pair():
     rng = random.Random(6)
     for num in (80, 85, 95):
