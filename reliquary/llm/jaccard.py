@@ -28,8 +28,10 @@ from .shared import fresh, materialise, skew_lookup
 U = np.uint64
 #: Second-level partitions of each first-level one; a signature leaves one of them out.
 SECOND = 3
-#: A signature of fewer shingles is light: it needn't be given out where spare partitions allow it.
-LIGHT = 2
+#: One spare first-level partition for so many that are needed.
+SPARE = 5
+#: Signatures of fewer shingles may be kept back, as far as spare partitions allow.
+LIGHT = 8
 #: A table of nodes is broadcast up to this many rows of under 100 bytes each.
 BROADCAST_ROWS = 500_000
 #: Nodes in a block, and elements of their sets, about; a set with more elements is a block of its own.
@@ -161,18 +163,19 @@ class PartEnum:
         """The signatures of many sets, none empty, and the number of the set each belongs to: those
         of its own band, and those of the next, where sets of that band look for it.
 
-        There are a tenth more first-level partitions than needed, so similar sets agree in that
-        many more. A set in which no more of them than that have a light signature needn't give
-        light ones out: it agrees in another partition too, and what agrees is as heavy in both
-        sets. Sets with more light ones give out all they have. In bands that allow no difference
-        similar sets are equal, and their one signature is the whole set.
+        There are more first-level partitions than needed by some spare ones, so similar sets agree
+        in that many more. So a set may keep back its lightest signatures, those of less than a
+        weight of its own below which as many partitions have one as there are spare. Of two
+        similar sets the one with the greater such weight keeps back the more, and what they agree
+        in has the same weight in both: they lose no more than the spare ones. In bands that allow
+        no difference similar sets are equal, and their one signature is the whole set.
         """
         own, out, owners = self.bands(sizes), [], []
         owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         for band in (own, own + 1):
             # Most elements that only one of two similar sets has, if none is larger than the band allows.
             k = (self.den - self.num) * 2 * (np.array(self.bounds)[band + 1] - 1) // (self.den + self.num)
-            spare = np.where(k > 0, (k // 2 + 1) // 10 + 1, 0)
+            spare = np.where(k > 0, (k // 2 + 1) // SPARE + 1, 0)
             first = np.where(k > 0, k // 2 + 1 + spare, 1)
             cells = first * SECOND
             base = np.cumsum(cells) - cells
@@ -184,10 +187,12 @@ class PartEnum:
                 n += np.bincount(cell, minlength=len(n))
             sums, n = sums.reshape(-1, SECOND), n.reshape(-1, SECOND)
             left_out = sums.sum(axis=1, dtype=U)[:, None] - sums
-            light = n.sum(axis=1)[:, None] - n < LIGHT
+            weight = n.sum(axis=1)[:, None] - n
+            lightest, least = weight.min(axis=1), np.zeros(len(sizes), np.int64)
+            for w in range(1, LIGHT + 1):
+                least += np.add.reduceat(lightest < w, base // SECOND, dtype=np.int64) <= spare
             place = np.arange(len(sums) * SECOND) - np.repeat(base, cells)
-            few = np.add.reduceat(light.any(axis=1), base // SECOND, dtype=np.int64) <= spare
-            give = np.where(np.repeat(k > 0, cells), ~(light.ravel() & np.repeat(few, cells)), place == 1)
+            give = np.where(np.repeat(k > 0, cells), weight.ravel() >= np.repeat(least, cells), place == 1)
             tag = place.astype(U) * U(0x9E3779B97F4A7C15) + np.repeat(band, cells).astype(U) * U(0xD6E8FEB86659FD93)
             out.append(_mix(_mix(left_out.ravel()) + tag)[give])
             owners.append(np.repeat(np.arange(len(sizes)), cells)[give])
