@@ -8,15 +8,17 @@ context of NUL bytes. A-Z are lower-cased, as in the word model beside it.
 
 The trie is gathered from the training texts as counts of (order + 1)-grams, added up inside each
 task, then by shuffle. As the successors of a context are also those of its suffixes, exclusion is
-a number per context, and a gram's probability is a table look-up. Tables go to the executors in
-blocks of at most BLOCK grams, cut by the last two bytes of the context, whose shorter contexts
-share them; each further block costs one more pass over the texts.
+a number per context, and a gram's probability is a table look-up. The trie lies in blocks of about
+BLOCK grams, cut by the last bytes of the context, two of them or, where that would be too many
+grams, more; only the executors ever hold a block, one at a time. Texts don't look grams up one by
+one: they are dealt into chunks, each chunk asks every block once for the different grams it has
+there, and the answers meet the chunk's texts. So the texts are read three times, however large the
+trie. Words of the base model are asked for in the same way.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -28,9 +30,12 @@ from .jaccard import _mix
 from .shared import materialise
 
 END = 256
-BLOCK = 4_000_000
-#: Words whose counts are broadcast, the most frequent ones; the counts of all others are joined by shuffle.
-WORDS = 1_000_000
+#: Grams of a block of the trie, about; also words of a block of the base model.
+BLOCK = 1_000_000
+#: Bytes of text in a chunk, about.
+CHUNK = 16 << 20
+#: Keys in one row that is shuffled, at most.
+ROW = 250_000
 U = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -177,15 +182,20 @@ class Table:
 class Trie:
     """Log10 probabilities of grams from counts of one block's (order + 1)-grams.
 
-    low_keys, low_counts: the counts of (context of one byte, symbol) over all blocks.
+    levels: for 1 the counts of (context of one byte, symbol) over all blocks, and for others those
+    of the contexts that several blocks share, as sorted keys and counts.
     """
 
-    def __init__(self, order: int, keys: np.ndarray, counts: np.ndarray, low_keys: np.ndarray, low_counts: np.ndarray):
-        self.order, levels = order, {order: (keys, counts), 1: (low_keys, low_counts)}
+    def __init__(self, order: int, keys: np.ndarray, counts: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray]]):
+        shared, self.order, levels = levels, order, {order: (keys, counts), 1: levels[1]}
         for m in range(order - 1, -1, -1):
             if m != 1:
                 k, n = levels[m + 1]
-                levels[m] = _merged([k & self._mask(m)], [n])
+                k = k & self._mask(m)
+                if m in shared:  # what this block has of them is a part
+                    own = ~np.isin(k >> 9, shared[m][0] >> 9)
+                    k, n = np.append(k[own], shared[m][0]), np.append(n[own], shared[m][1])
+                levels[m] = _merged([k], [n])
         self.grams, self.logs, self.contexts, self.direct, self.escape, self.below, self.again = {}, {}, {}, {}, {}, {}, {}
         stats = {}
         for m in range(order + 1):
@@ -240,52 +250,187 @@ class Trie:
         return out
 
 
-_models: dict[str, tuple] = {}
+def _suffix(keys: np.ndarray, m: int) -> np.ndarray:
+    """The last m bytes of the grams' contexts."""
+    return keys >> 9 & ((1 << (8 * m)) - 1)
 
 
-def _score(order: int, model, name: str, number: int, of: int):
-    """Per document: score of its grams in block `number`, and on the first pass its words."""
+def _block_of(keys: np.ndarray, crowded: dict[int, np.ndarray], blocks: int) -> np.ndarray:
+    """Number of the block that holds each gram: by the last two bytes of its context, or by as
+    many more as it takes to come to a suffix that isn't crowded."""
+    place, open_ = _mix(_suffix(keys, 2).astype(U)), np.ones(len(keys), bool)
+    for m, suffixes in sorted(crowded.items()):
+        open_ &= np.isin(_suffix(keys, m), suffixes)
+        place[open_] = _mix(_suffix(keys[open_], m + 1).astype(U) + U(m << 56))
+    return (place % U(blocks)).astype(np.int64)
+
+
+_ROWS = "block int, role int, chunk long, keys array<long>, n array<long>"
+
+
+def _lists(values: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(values) if values else np.empty(0), kind))
+
+
+def _split(block: np.ndarray, *columns: np.ndarray):
+    """(block, part of each column) for the rows of each block, of at most ROW values."""
+    order = np.argsort(block, kind="stable")
+    block, columns = block[order], [c[order] for c in columns]
+    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+    for a, z in zip(starts, [*starts[1:], len(block)], strict=True):
+        for i in range(a, z, ROW):
+            yield int(block[a]), *(c[i : min(z, i + ROW)] for c in columns)
+
+
+def _dealt(rows: list[tuple], role: int, chunk: int | None) -> pa.RecordBatch:
+    n = len(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([role] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), _lists([r[1] for r in rows]), _lists([r[2] if len(r) > 2 else r[1][:0] for r in rows])],
+        ["block", "role", "chunk", "keys", "n"],
+    )
+
+
+class _Layout:
+    """Which block holds a gram (kind 0) or a word (kind 1); words come after the grams' blocks."""
+
+    def __init__(self, crowded: dict[int, np.ndarray], grams: int, words: int):
+        self.crowded, self.grams, self.words = crowded, grams, words
+
+    def of(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        return self.grams + (_mix(keys.astype(U)) % U(self.words)).astype(np.int64) if kind else _block_of(keys, self.crowded, self.grams)
+
+
+def _store(layout: _Layout):
+    """Rows of counts (role 0), by block, from (kind, key, n)."""
+
+    def store(batches):
+        for b in batches:
+            kinds, keys, n = (b[c].to_numpy() for c in ("kind", "key", "n"))
+            for kind in (0, 1):
+                mine = kinds == kind
+                if mine.any():
+                    yield _dealt(list(_split(layout.of(kind, keys[mine]), keys[mine], n[mine])), 0, None)
+
+    return store
+
+
+def _ask(order: int, layout: _Layout):
+    """Rows of questions (role 1), by block: the different grams and words of each chunk, whose texts come one after the other."""
+
+    def ask(batches):
+        chunk, held = None, {0: [], 1: []}
+
+        def asked():
+            for kind, parts in held.items():
+                if parts:
+                    keys = _merged(*map(list, zip(*parts, strict=True)))[0]
+                    yield _dealt(list(_split(layout.of(kind, keys), keys)), 1, chunk)
+                held[kind] = []
+
+        for b in batches:
+            chunks = b["chunk"].to_numpy()
+            starts = np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])) if len(chunks) else []
+            for a, z in zip(starts, [*starts[1:], len(chunks)], strict=True):
+                if chunks[a] != chunk:
+                    yield from asked()
+                    chunk = int(chunks[a])
+                for _, x in blocks((t.as_py() for t in b["data"].slice(a, z - a)), order):
+                    for kind, values in ((0, x.grams), (1, x.words)):
+                        held[kind].append(_counted(values))
+                        if len(held[kind]) > 8:
+                            held[kind] = [_merged(*map(list, zip(*held[kind], strict=True)))]
+        yield from asked()
+
+    return ask
+
+
+def _answer(order: int, layout: _Layout, levels: dict):
+    """Answers (chunk, keys, logs) for grams and (chunk, keys, n) for words, from the rows of each block: counts, then questions."""
+
+    def answer(batches):
+        block, held, table = None, [], None
+        for b in batches:
+            for i in range(b.num_rows):
+                number, role = b["block"][i].as_py(), b["role"][i].as_py()
+                if number != block:
+                    block, held, table = number, [], None
+                keys = b["keys"][i].values.to_numpy()
+                if role == 0:
+                    held.append((keys, b["n"][i].values.to_numpy()))
+                    continue
+                if table is None:
+                    k, n = _merged(*map(list, zip(*held, strict=True))) if held else (np.empty(0, np.int64),) * 2
+                    table, held = (Trie(order, k, n, levels) if block < layout.grams else (Table(k), n)), []
+                if block < layout.grams:
+                    logs, n = _lists([table.score(keys).astype(np.float32)], pa.float32()), pa.nulls(1, pa.list_(pa.int64()))
+                else:
+                    at = table[0].find(keys)
+                    keys, found = keys[at >= 0], table[1][at[at >= 0]]
+                    logs, n = pa.nulls(1, pa.list_(pa.float32())), _lists([found])
+                yield pa.RecordBatch.from_arrays([b["chunk"].slice(i, 1), _lists([keys]), logs, n], ["chunk", "keys", "logs", "n"])
+
+    return answer
+
+
+def _score(order: int):
+    """Per document: score, words, known words, base; from a chunk's answers (role 0), then its texts (role 1)."""
 
     def score(batches):
-        if name not in _models:
-            _models.clear()
-            grams, counts, low, low_counts, words, word_counts = model.value
-            _models[name] = Trie(order, grams, counts, low, low_counts), Table(words), np.log10(word_counts + 1.0)
-        trie, words, logs = _models[name]
+        chunk, held, tables = None, {0: [], 1: []}, None
+        names = ("logs", "n")
         for b in batches:
-            n = b.num_rows
-            total, n_words, n_known, base = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            rare = defaultdict(list)
-            for docs, x in blocks((t.as_py() for t in b["data"]), order):
-                keys = x.grams
-                value = np.zeros(len(keys), np.float64)
-                mine = _mix(((keys >> 9) & 0xFFFF).astype(U)) % U(of) == U(number) if of > 1 else slice(None)
-                value[mine] = trie.score(keys[mine])
-                full = x.where > 0
-                np.add.at(total, docs[full], np.add.reduceat(value, (np.cumsum(x.where) - x.where)[full]) if full.any() else 0)
-                if number:
+            chunks, roles = b["chunk"].to_numpy(), b["role"].to_numpy()
+            starts = np.flatnonzero(np.append(True, (chunks[1:] != chunks[:-1]) | (roles[1:] != roles[:-1]))) if len(chunks) else []
+            for a, z in zip(starts, [*starts[1:], len(chunks)], strict=True):
+                if chunks[a] != chunk:
+                    chunk, held, tables = chunks[a], {0: [], 1: []}, None
+                part = b.slice(a, z - a)
+                if roles[a] == 0:
+                    for i in range(part.num_rows):
+                        kind = 0 if part["logs"][i].is_valid else 1
+                        held[kind].append((part["keys"][i].values.to_numpy(), part[names[kind]][i].values.to_numpy()))
                     continue
-                at, owner = words.find(x.words), docs[x.word_piece]
-                np.add.at(n_words, owner, 1)
-                known = at >= 0
-                np.add.at(n_known, owner[known], 1)
-                np.add.at(base, owner[known], logs[at[known]])
-                cut = np.flatnonzero(np.diff(owner[~known])) + 1
-                for o, h in zip(owner[~known][np.concatenate([[0], cut])] if (~known).any() else [], np.split(x.words[~known], cut), strict=False):
-                    rare[int(o)].append(h)
-            hashes, times = [], []
-            for i in range(n):
-                h, c = _counted(np.concatenate(rare[i])) if i in rare else (np.empty(0, np.int64),) * 2
-                hashes.append(h)
-                times.append(c)
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["th"], b["held_out"], pa.array(total), pa.array(n_words), pa.array(n_known), pa.array(base), pa.array(hashes, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                ["doc_id", "th", "held_out", "score", "n_words", "n_known", "base", "rare", "times"],
-            )
+                if tables is None:
+                    joined = [[np.concatenate(c) for c in zip(*held[kind], strict=True)] if held[kind] else [np.empty(0, np.int64), np.empty(0)] for kind in (0, 1)]
+                    tables, held = [(Table(k), v) for k, v in joined], {0: [], 1: []}
+                    tables[1] = tables[1][0], np.log10(tables[1][1] + 1.0)
+                (grams, logs), (words, word_logs) = tables
+                n = part.num_rows
+                total, n_words, n_known, base = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+                for docs, x in blocks((t.as_py() for t in part["data"]), order):
+                    at = grams.find(x.grams)
+                    if (at < 0).any():
+                        raise RuntimeError("a gram of the chunk has no answer")
+                    value = logs[at].astype(np.float64)
+                    full = x.where > 0
+                    np.add.at(total, docs[full], np.add.reduceat(value, (np.cumsum(x.where) - x.where)[full]) if full.any() else 0)
+                    at, owner = words.find(x.words), docs[x.word_piece]
+                    known = at >= 0
+                    np.add.at(n_words, owner, 1)
+                    np.add.at(n_known, owner[known], 1)
+                    np.add.at(base, owner[known], word_logs[at[known]])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], *map(pa.array, (total, n_words, n_known, base))], ["doc_id", "held_out", "score", "n_words", "n_known", "base"])
 
     return score
 
 
+def _crowded(grams: DataFrame, order: int) -> tuple[dict[int, np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The context suffixes of each length that have more than BLOCK grams, and the counts of the
+    contexts they are: at most a suffix for BLOCK grams, of at most 257 rows."""
+    crowded, levels, within = {}, {}, grams
+    for m in range(2, order):
+        suffix = F.shiftright("key", 9).bitwiseAND(F.lit((1 << (8 * m)) - 1))
+        found = within.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select("suffix").toArrow()
+        if not found.num_rows:
+            break
+        crowded[m] = np.sort(found["suffix"].to_numpy())
+        within = within.where(suffix.isin(crowded[m].tolist()))
+        rows = within.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * m + 9)) - 1)).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+        levels[m] = rows["key"].to_numpy(), rows["n"].to_numpy()
+    return crowded, levels
+
+
 def score_documents(docs: DataFrame, order: int = 5, folds: int = 7, fold: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -295,66 +440,39 @@ def score_documents(docs: DataFrame, order: int = 5, folds: int = 7, fold: int =
     count; words are known by a 64-bit hash. A null text is empty. Repeated rows train and score
     each. An empty table gives an empty result; with nothing to learn from, symbols are uniform.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     crc = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), (crc % folds == fold).alias("held_out"), F.encode(text, "utf-8").alias("data"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc % folds == fold).alias("held_out"), F.encode(text, "utf-8").alias("data"))
     counts = rows.where(~F.col("held_out")).select("data").mapInArrow(_gather(order), "kind int, key long, n long")
     counts = materialise(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    learned = rows.where(~F.col("held_out")).count()
+    learned, size = rows.agg(F.count(F.when(~F.col("held_out"), 1)), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
     n_grams, n_kinds, n_words = counts.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, v)), F.lit(0)) for k, v in ((0, F.lit(1)), (1, F.lit(1)), (1, F.col("n")))]).first()
     train_tokens, kinds = n_words + learned, n_kinds + (1 if learned else 0)
 
-    grams, words = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
+    grams = counts.where("kind = 0").select("key", "n")
+    crowded, levels = _crowded(grams, order)
     # At most 256 * 257 rows, whatever the corpus.
     low = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 17) - 1)).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()
-    # The least count from which on at most WORDS words are left; the histogram has a row per different count.
-    tally = words.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
-    least, held = (1 << 16) + 1, 0
-    for r in tally:
-        if held + r["k"] > WORDS:
-            break
-        least, held = r["n"], held + r["k"]
-    frequent = words.where(F.col("n") >= least).orderBy("key").toArrow()
-    passes = max(1, -(-n_grams // BLOCK))
-    out = None
-    for number in range(passes):
-        mine = grams
-        if passes > 1:
-
-            def cut(batches, number=number):
-                for b in batches:
-                    k = b["key"].to_numpy()
-                    yield b.filter(pa.array(_mix(((k >> 9) & 0xFFFF).astype(U)) % U(passes) == U(number)))
-
-            mine = grams.mapInArrow(cut, grams.schema)
-        block = mine.orderBy("key").toArrow()
-        value = [x.to_numpy() for t in (block, low, frequent) for x in (t["key"], t["n"])]
-        model = spark.sparkContext.broadcast(value)
-        schema = "doc_id long, th long, held_out boolean, score double, n_words long, n_known long, base double, rare array<long>, times array<long>"
-        scored = rows.mapInArrow(_score(order, model, uuid.uuid4().hex, number, passes), schema)
-        scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), f"scored{number}")
-        if out is None:
-            out = scored
-        else:
-            part = scored.groupBy("doc_id", "th").agg(F.first("score").alias("more")).toDF("_d", "_t", "more")
-            out = out.join(part, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).withColumn("score", F.col("score") + F.col("more")).drop("_d", "_t", "more")
-        model.unpersist()
-    # Rare words, counted per document before the shuffle, meet their counts; unknown ones find none.
-    rest = words.where(F.col("n") < least).toDF("hash", "c")
-    asked = out.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("hash"), "x.times")
-    met = asked.join(rest, "hash", "inner").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_base"))
-    out = out.drop("rare", "times").join(met, "row", "left")
-    end_known = 1 if learned else 0
+    levels[1] = low["key"].to_numpy(), low["n"].to_numpy()
+    layout = _Layout(crowded, 2 * n_grams // BLOCK + 1, n_kinds // BLOCK + 1)
+
+    chunk = F.pmod(F.xxhash64("doc_id", "data"), F.lit(size // CHUNK + 1)).alias("chunk")
+    texts = rows.select(chunk, "doc_id", "held_out", "data")
+    questions = texts.select("chunk", "data").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_ask(order, layout), _ROWS)
+    asked = counts.mapInArrow(_store(layout), _ROWS).unionByName(questions).repartition("block").sortWithinPartitions("block", "role")
+    answers = materialise(asked.mapInArrow(_answer(order, layout, levels), "chunk long, keys array<long>, logs array<float>, n array<long>"), "answers", rows=20_000)
+
+    met = answers.withColumn("role", F.lit(0)).unionByName(texts.withColumn("role", F.lit(1)), allowMissingColumns=True)
+    met = met.repartition("chunk").sortWithinPartitions("chunk", "role").mapInArrow(_score(order), "doc_id long, held_out boolean, score double, n_words long, n_known long, base double")
     per_token = math.log10(train_tokens + kinds + 1)
     n_tokens = F.col("n_words") + 1
-    return out.select(
+    return materialise(met, "scored").select(
         "doc_id",
         "held_out",
         n_tokens.alias("n_tokens"),
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + end_known).alias("n_known"),
+        (F.col("n_known") + (1 if learned else 0)).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + F.lit(math.log10(learned + 1)) - n_tokens * F.lit(per_token)).alias("base_score"),
+        (F.col("base") + F.lit(math.log10(learned + 1)) - n_tokens * F.lit(per_token)).alias("base_score"),
         "score",
     )
 

@@ -215,7 +215,6 @@ def test_packing_exchanges_documents(spark, monkeypatch):
 
 
 def test_lm_scores(docs, empty, monkeypatch):
-    monkeypatch.setattr(ppm, "WORDS", 20)
     order = 3
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
     model, counts, learned = ppm.AdaptiveTrie(order), Counter(), 0
@@ -233,8 +232,9 @@ def test_lm_scores(docs, empty, monkeypatch):
         words = words_of(plain_lower(r[1] or ""))
         base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in words) + math.log10((learned + 1) / (total + kinds + 1))
         want.append((r[0], held(r[0]), len(words) + 1, sum(counts[w] > 0 for w in words) + 1, total, round(base, 4), round(model.read((r[1] or "").encode(), False), 2)))
-    for block in (4_000_000, 400):  # in one pass, and in several
+    for block, chunk in ((1_000_000, 16 << 20), (60, 2000)):  # in one block and chunk; in many, with suffixes that are cut further
         monkeypatch.setattr(ppm, "BLOCK", block)
+        monkeypatch.setattr(ppm, "CHUNK", chunk)
         got = [(*r[:5], round(r[5], 4), round(r[6], 2)) for r in ppm.score_documents(docs, order).collect()]
         got, expected = sorted(got, key=repr), sorted(want, key=repr)
         assert [g[:5] for g in got] == [w[:5] for w in expected]
@@ -242,6 +242,32 @@ def test_lm_scores(docs, empty, monkeypatch):
     assert ppm.score_documents(empty).count() == 0
 
 
+def test_lm_trie_in_blocks(monkeypatch):
+    """A trie cut into blocks, hot suffixes further than others, answers as the whole one does."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abe ", (1, 1, 6, 6), k=300)).encode() for _ in range(20)]
+    for order in (3, 4, 5):
+        grams = np.concatenate([x.grams for _, x in ppm.blocks(texts, order)])
+        keys, counts = ppm._counted(grams)
+        low = ppm._merged([keys & ((1 << 17) - 1)], [counts])
+        whole = ppm.Trie(order, keys, counts, {1: low})
+        asked = np.unique(np.concatenate([grams, *(x.grams for _, x in ppm.blocks([b"babe eee bbb", b"unseen \xc3\xa9 zz"], order))]))
+        want, crowded, levels, within = whole.score(asked), {}, {1: low}, np.ones(len(keys), bool)
+        for m in range(2, order):
+            suffixes, n = np.unique(ppm._suffix(keys[within], m), return_counts=True)
+            if not (n > 12).any():
+                break
+            crowded[m] = suffixes[n > 12]
+            within &= np.isin(ppm._suffix(keys, m), crowded[m])
+            levels[m] = ppm._merged([keys[within] & ((1 << (8 * m + 9)) - 1)], [counts[within]])
+        assert len(crowded) == order - 2
+        for n in (1, 5, 40):
+            block, home = ppm._block_of(asked, crowded, n), ppm._block_of(keys, crowded, n)
+            for b in range(n):
+                part = ppm.Trie(order, keys[home == b], counts[home == b], levels)
+                assert np.allclose(part.score(asked[block == b]), want[block == b], atol=1e-5), (order, n, b)
+
+
 def test_lm_is_a_distribution_and_adapts(spark):
     trie = ppm.AdaptiveTrie(2)
     trie.read(b"abracadabra")
