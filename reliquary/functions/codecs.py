@@ -271,15 +271,17 @@ def unlzhuf(data: bytes, size: int, fill: int = 0x20) -> bytes:
     tree, out = AdaptiveTree(), bytearray()
     window, head = bytearray([fill]) * LZH_WINDOW, LZH_WINDOW - LZH_LONGEST
     codes = {(c, n): i for i, (c, n) in enumerate(position_codes())}
-    bits = int.from_bytes(data, "big")
-    total, at = 8 * len(data), 0
+    at = held = left = 0  # the next byte, and what is left of the one before
 
     def bit() -> int:
-        nonlocal at
-        at += 1
-        return bits >> (total - at) & 1 if at <= total else 0
+        nonlocal at, held, left
+        if not left:
+            held, left = data[at] if at < len(data) else 0, 8
+            at += 1
+        left -= 1
+        return held >> left & 1
 
-    while len(out) < size and at < total + 64:
+    while len(out) < size and at <= len(data) + 8:
         node = tree.root
         while tree.leaf[node] is None:
             node = tree.low[node] + bit()

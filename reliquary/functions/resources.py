@@ -283,7 +283,10 @@ def one_bit(data: bytes, width: int, height: int, mask: bytes | None = None) ->
 
 
 #: The 16-colour palette as RGB.
-PALETTE_16 = bytes.fromhex("fffffffcf305ff6402dd0806f208844600a50000d302abea1fb714006411562c0590713ac0c0c0808080404040000000")
+PALETTE_16 = (
+    (255, 255, 255), (252, 243, 5), (255, 100, 2), (221, 8, 6), (242, 8, 132), (70, 0, 165), (0, 0, 211), (2, 171, 234),
+    (31, 183, 20), (0, 100, 17), (86, 44, 5), (144, 113, 58), (192, 192, 192), (128, 128, 128), (64, 64, 64), (0, 0, 0),
+)
 
 
 def palette_256() -> list[bytes]:
@@ -299,7 +302,7 @@ def indexed(data: bytes, width: int, height: int, bits: int) -> tuple | None:
     if len(data) < width * height * bits // 8:
         return None
     if bits == 4:
-        colors = [PALETTE_16[3 * i : 3 * i + 3] for i in range(16)]
+        colors = [bytes(c) for c in PALETTE_16]
         values = [v for b in data[: width * height // 2] for v in (b >> 4, b & 15)]
     else:
         colors, values = palette_256(), data[: width * height]

@@ -40,18 +40,20 @@ def decode_as(data: Column, label: str) -> Column:
     return decode(data)
 
 
-def hex_dump(data: Column, most: int = 4096) -> Column:
-    """16 bytes a row: offset, two groups of eight, ASCII; a last line says what is left out."""
-    shown = F.least(F.octet_length(data), F.lit(most))
-    digits = F.hex(F.substring(data, 1, most))
-    piece = lambda at, n: F.regexp_replace(F.substring(digits, 2 * at + 1, F.lit(2 * n)), "(..)", "$1 ")
-    plain = F.regexp_replace(F.decode(F.substring(data, 1, most), "ISO-8859-1"), r"[^\x20-\x7E]", ".")
-
-    def row(at: Column) -> Column:
-        at = at.cast("int")
-        return F.concat(F.lpad(F.hex(at.cast("long")), 8, "0"), F.lit("  "), F.rpad(piece(at, 8), 24, " "), F.lit(" "), F.rpad(piece(at + 8, 8), 24, " "), F.lit("|"), F.substring(plain, at + 1, F.lit(16)), F.lit("|"))
-
-    rows = F.when(shown > 0, F.transform(F.sequence(F.lit(0), F.greatest(shown - 1, F.lit(0)), F.lit(16)), row)).otherwise(F.array().cast("array<string>"))
+def hex_dump(data: Column, most: int | None = 4096) -> Column:
+    """16 bytes a row: offset, two groups of eight, ASCII; a last line says what is left out.
+    None shows all. Digits and characters are cut into rows once, so time grows with what is shown."""
+    shown = data if most is None else F.substring(data, 1, most)
+    digits = F.regexp_extract_all(F.hex(shown), F.lit(".{1,32}"), F.lit(0))
+    plain = F.regexp_extract_all(F.regexp_replace(F.decode(shown, "ISO-8859-1"), r"[^\x20-\x7E]", "."), F.lit(".{1,16}"), F.lit(0))
+    group = lambda d, at: F.rpad(F.regexp_replace(F.substring(d, at, 16), "(..)", "$1 "), 24, " ")
+
+    def row(x: Column, i: Column) -> Column:
+        return F.concat(F.lpad(F.hex(i.cast("long") * 16), 8, "0"), F.lit("  "), group(x["d"], 1), F.lit(" "), group(x["d"], 17), F.lit("|"), x["p"], F.lit("|"))
+
+    rows = F.transform(F.arrays_zip(digits.alias("d"), plain.alias("p")), row)
+    if most is None:
+        return F.array_join(rows, "\n")
     rest = F.when(F.octet_length(data) > most, F.array(F.concat(F.lit("... ("), (F.octet_length(data) - most).cast("string"), F.lit(" more bytes)")))).otherwise(F.array().cast("array<string>"))
     return F.array_join(F.concat(rows, rest), "\n")
 

@@ -1,8 +1,10 @@
 """The catalog: Parquet tables under one root, written by one writer at a time.
 
-A table is a folder of versions; the manifest names the current one of each. A change writes a
-new version and then the manifest, so readers see either state. Files go through Hadoop's
-filesystem API, so the root may be in any store.
+A table is a folder of versions; the newest numbered manifest names the current ones of all tables.
+A change, of one table or of several, writes new versions and then one manifest with the next number,
+so readers see either state and a crash in between changes nothing. The last manifests stay, and the
+versions they name, so that a reader who holds one can finish. Files go through Hadoop's filesystem
+API, so the root may be in any store.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import cut
+
 ENTRIES = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("parent_id", T.StringType()), T.StructField("is_dir", T.BooleanType()), T.StructField("name", T.StringType()), T.StructField("path", T.StringType()),
     T.StructField("type_code", T.StringType()), T.StructField("creator_code", T.StringType()), T.StructField("finder_flags", T.IntegerType()), T.StructField("label_color", T.IntegerType()),
@@ -25,6 +29,8 @@ FORKS = T.StructType([T.StructField("id", T.StringType()), T.StructField("data_f
 THUMBNAILS = T.StructType([T.StructField("id", T.StringType()), T.StructField("png", T.BinaryType())])
 HISTORY = T.StructType([T.StructField("url", T.StringType()), T.StructField("filename", T.StringType()), T.StructField("date", T.TimestampType()), T.StructField("entry_id", T.StringType()), T.StructField("source", T.StringType())])
 META = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
+#: Manifests that stay, with the versions they name.
+KEPT = 4
 TABLES = {"entries": ENTRIES, "forks": FORKS, "thumbnails": THUMBNAILS, "catalog_meta": META, "download_history": HISTORY}
 
 
@@ -55,12 +61,15 @@ class _Store:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        stream = self.fs.create(self._path(name + ".new"), True)
+        """A new file, which nobody sees before it is whole."""
+        stream = self.fs.create(self._path(f".{name}.new"), True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self.exists(name):
-            self.fs.delete(self._path(name), False)
-        self.fs.rename(self._path(name + ".new"), self._path(name))
+        if not self.fs.rename(self._path(f".{name}.new"), self._path(name)):
+            raise CatalogError("AlreadyExists", name)
+
+    def names(self, pattern: str) -> list[str]:
+        return [f.getPath().getName() for f in self.fs.globStatus(self._path(pattern)) or []]
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
@@ -89,7 +98,7 @@ def numbered(rows: DataFrame, order: list[str], start: int) -> DataFrame:
     """Add id: four digits or more, consecutive from `start` in the given order. Rows are range
     partitioned and each partition's count gives the offsets, so no task sees all of them."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ranged = ranged.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    ranged = cut(ranged)
     part = F.shiftright("_at", 33)
     counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
     base = counts.select("_part", "_low", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
@@ -107,7 +116,7 @@ def entry_json(entries: DataFrame) -> DataFrame:
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, _Store(spark, root)
-        if not self.store.exists("manifest.json"):
+        if not self.store.names("manifest-*.json"):
             raise CatalogError("NotFound", root)
 
     @classmethod
@@ -116,15 +125,18 @@ class Catalog:
         if store.exists(""):
             raise CatalogError("AlreadyExists", root)
         created = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-        store.write("manifest.json", json.dumps({"app_version": "reliquary", "created": created, "tables": {}, "version": "1"}, sort_keys=True))
+        store.write("manifest-000000.json", json.dumps({"app_version": "reliquary", "created": created, "tables": {}, "version": "1"}, sort_keys=True))
         out = cls(spark, root)
         out._replace("catalog_meta", spark.createDataFrame([("schema_version", "1")], META))
         return out
 
     open = classmethod(lambda cls, spark, root: cls(spark, root))
 
+    def _manifests(self) -> list[str]:
+        return sorted(self.store.names("manifest-*.json"), key=lambda n: (len(n), n))
+
     def manifest(self) -> dict:
-        return json.loads(self.store.read("manifest.json"))
+        return json.loads(self.store.read(self._manifests()[-1]))
 
     def table(self, name: str) -> DataFrame:
         versions = self.manifest()["tables"].get(name, [])
@@ -132,21 +144,29 @@ class Catalog:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.store.root}/{name}/{v}" for v in versions])
 
-    def _put(self, name: str, rows: DataFrame, versions: list[str]) -> None:
-        version = uuid.uuid4().hex
-        rows.select(*TABLES[name].names).write.parquet(f"{self.store.root}/{name}/{version}")
-        manifest = self.manifest()
-        manifest["tables"][name] = [*versions, version]
-        self.store.write("manifest.json", json.dumps(manifest, sort_keys=True))
+    def _change(self, replaced: dict[str, DataFrame] | None = None, added: dict[str, DataFrame] | None = None) -> None:
+        """New contents of tables, and rows to append to others, all in one manifest."""
+        tables = self.manifest()["tables"]
+        for rows_of, old in ((replaced or {}, {}), (added or {}, tables)):
+            for name, rows in rows_of.items():
+                version = uuid.uuid4().hex
+                rows.select(*TABLES[name].names).write.parquet(f"{self.store.root}/{name}/{version}")
+                tables = tables | {name: [*old.get(name, []), version]}
+        names = self._manifests()
+        self.store.write(f"manifest-{int(names[-1][9:-5]) + 1:06d}.json", json.dumps(self.manifest() | {"tables": tables}, sort_keys=True))
+        for name in names[: -KEPT + 1]:  # with the versions that only they name
+            gone = json.loads(self.store.read(name))["tables"]
+            self.store.delete(name)
+            held = [json.loads(self.store.read(n))["tables"] for n in self._manifests()]
+            for t, versions in gone.items():
+                for v in set(versions) - {v for tables in held for v in tables.get(t, [])}:
+                    self.store.delete(f"{t}/{v}")
 
     def _append(self, name: str, rows: DataFrame) -> None:
-        self._put(name, rows, self.manifest()["tables"].get(name, []))
+        self._change(added={name: rows})
 
     def _replace(self, name: str, rows: DataFrame) -> None:
-        old = self.manifest()["tables"].get(name, [])
-        self._put(name, rows, [])
-        for v in old:
-            self.store.delete(f"{name}/{v}")
+        self._change(replaced={name: rows})
 
     entries = property(lambda self: self.table("entries"))
     forks = property(lambda self: self.table("forks"))
@@ -167,11 +187,13 @@ class Catalog:
         staged = f"{self.store.root}/_staged/{uuid.uuid4().hex}"
         rows.withColumn("added_at", F.date_trunc("second", F.current_timestamp())).write.parquet(staged)
         rows = self.spark.read.parquet(staged)
-        self._append("forks", rows.select("id", F.coalesce("data_fork", F.lit(b"")).alias("data_fork"), F.coalesce("rsrc_fork", F.lit(b"")).alias("rsrc_fork")))
-        self._append("entries", with_defaults(rows))
-        first, last = rows.agg(F.min("id"), F.max("id")).first()
+        forks = rows.select("id", F.coalesce("data_fork", F.lit(b"")).alias("data_fork"), F.coalesce("rsrc_fork", F.lit(b"")).alias("rsrc_fork"))
+        number = F.expr("try_cast(id AS BIGINT)")
+        first, last = rows.agg(F.min(number), F.max(number)).first()
+        if first is not None:
+            self._change(added={"forks": forks, "entries": with_defaults(rows)})
         self.store.delete(staged.removeprefix(self.store.root + "/"))
-        return self.entries.where(F.expr("try_cast(id AS BIGINT)").between(int(first or 0), int(last or 0))) if first else self.entries.where(F.lit(False))
+        return self.entries.where(number.between(first, last) if first is not None else F.lit(False))
 
     def add_directory(self, name: str, parent_id: str | None = None, path: str = "") -> str:
         new = f"{self.next_id():04d}"
@@ -183,7 +205,9 @@ class Catalog:
         return self.entries.count()
 
     def entry(self, entry_id: str):
-        return self.entries.where(F.col("id") == entry_id).head()
+        from .listing import entry
+
+        return entry(self.entries, entry_id).head()
 
     def data_fork(self, entry_id: str) -> bytes:
         row = self.forks.where(F.col("id") == entry_id).select("data_fork").head()
@@ -218,8 +242,7 @@ class Catalog:
 
         gone = subtree(self.entries, self.spark.createDataFrame([(i,) for i in ids], "id string"))
         before = self.count()
-        for name in ("forks", "thumbnails", "entries"):
-            self._replace(name, self.table(name).join(gone, "id", "left_anti"))
+        self._change({name: self.table(name).join(gone, "id", "left_anti") for name in ("forks", "thumbnails", "entries")})
         return before - self.count()
 
     def record_download(self, rows: DataFrame) -> None:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,6 +24,11 @@ def children(entries: DataFrame, parent: str | None = None) -> DataFrame:
     return entries.where(F.col("parent_id").eqNullSafe(F.lit(parent))).orderBy(F.desc("is_dir"), "name", "id")
 
 
+def entry(entries: DataFrame, entry_id: str) -> DataFrame:
+    """The entry with this id, if any."""
+    return entries.where(F.col("id") == entry_id)
+
+
 def search(entries: DataFrame, query: str, columns: tuple[str, ...] = ("name", "path", "source", "type_code", "creator_code"), literal: bool = False) -> DataFrame:
     """Substring search in any column; ASCII letters match in either case, % and _ are wildcards
     unless literal. A blank query finds nothing."""
@@ -83,44 +90,63 @@ def first_roots(entries: DataFrame, most: int = 25) -> DataFrame:
     return entries.where("parent_id is null").orderBy(F.desc("is_dir"), "name", "id").limit(most)
 
 
-def subtree(entries: DataFrame, ids: DataFrame, most: int = 1000) -> DataFrame:
-    """ids (one column, id) and all their descendants, level by level; each round joins the new ids
-    only, and ids are cut off from their lineage by being written to the checkpoint folder."""
-    found = level = ids.select("id").distinct()
-    links = entries.select("id", "parent_id")
-    for _ in range(most):
-        level = links.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id").join(found, "id", "left_anti").distinct()
-        level = level.checkpoint() if level.sparkSession.sparkContext.getCheckpointDir() else level.persist()
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found
-
-
-def paths(entries: DataFrame, separator: str = "/", most: int = 64) -> DataFrame:
-    """id, path and depth of every entry reachable from a root."""
-    done = level = entries.where("parent_id is null").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    for depth in range(1, most):
-        up = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = entries.join(up, "parent_id").select("id", F.concat("above", F.lit(separator), "name").alias("path"), F.lit(depth).alias("depth"))
-        level = level.checkpoint() if level.sparkSession.sparkContext.getCheckpointDir() else level.persist()
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
-    return done
-
-
-def breadcrumb(entries: DataFrame, entry_id: str, most: int = 64) -> list[str]:
-    """Names from the root down to one entry: one small lookup per level."""
-    out, at = [], entry_id
-    for _ in range(most):
+def _climbed(state: DataFrame, joined, most: int) -> tuple[DataFrame, bool]:
+    """state (id, up, ...) until no row has an `up` left to go to. Each round replaces the way to
+    `up` by the way to its own `up`, so ways double and a hierarchy of any depth takes few rounds.
+    joined(rows, above) gives the new rows. Also whether rows are left after more steps than there
+    are entries: these go round in a cycle."""
+    steps = 1
+    while True:
+        state = cut(state)
+        on = state.where("up is not null")
+        if steps > 2 * most or on.isEmpty():
+            return state, not on.isEmpty()
+        above = state.select(*[F.col(c).alias(f"above_{c}") for c in state.columns])
+        state = joined(state, on, above)
+        steps *= 2
+
+
+def subtree(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (one column, id) and all their descendants, however deep; entries of a cycle belong to
+    what the cycle holds. An id that no entry has stays in the result."""
+    chosen = ids.select("id").distinct()
+    marked = entries.select("id", F.col("parent_id").alias("up")).join(chosen.withColumn("hit", F.lit(True)), "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+    def joined(state, on, above):
+        # A row that is hit needs to climb no further; nor does one whose parent is no entry.
+        met = on.where("not hit").join(above, on["up"] == F.col("above_id")).select("id", F.when(~F.col("above_hit"), F.col("above_up")).alias("up"), F.col("above_hit").alias("hit"))
+        return state.where("up is null or hit").withColumn("up", F.lit(None).cast("string")).unionByName(met)
+
+    state, _ = _climbed(marked.withColumn("up", F.when(~F.col("hit"), F.col("up").cast("string"))).withColumn("id", F.col("id").cast("string")), joined, entries.count())
+    return chosen.unionByName(state.where("hit").select("id")).distinct()
+
+
+def paths(entries: DataFrame, separator: str = "/") -> DataFrame:
+    """id, path and depth of every entry below a root, at any depth. Entries whose chain of parents
+    ends at an id that isn't there are left out; a cycle is an error."""
+    start = entries.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path"), F.lit(0).alias("depth"))
+
+    def joined(state, on, above):
+        met = on.join(above, on["up"] == F.col("above_id"))
+        met = met.select("id", F.col("above_up").alias("up"), F.concat("above_path", F.lit(separator), "path").alias("path"), (F.col("depth") + F.col("above_depth") + 1).alias("depth"))
+        return state.where("up is null").unionByName(met)
+
+    state, cycle = _climbed(start, joined, entries.count())
+    if cycle:
+        raise ValueError(f"entries go round in a cycle: {[r['id'] for r in state.where('up is not null').select('id').head(3)]}")
+    return state.select("id", "path", "depth")
+
+
+def breadcrumb(entries: DataFrame, entry_id: str) -> list[str]:
+    """Names from the root down to one entry: one small lookup per level, each id once."""
+    out, at, seen = [], entry_id, set()
+    while at is not None and at not in seen:
+        seen.add(at)
         row = entries.where(F.col("id") == at).select("name", "parent_id").head()
         if row is None:
             break
         out.append(row["name"])
         at = row["parent_id"]
-        if at is None:
-            break
     return out[::-1]
 
 

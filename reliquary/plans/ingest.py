@@ -10,6 +10,7 @@ from ..functions import resources as R
 from ..functions.classify import is_extractable, is_mac_paint, is_text, kind_label
 from ..functions.text import download_name, human_size, keyword_tokens, read_text, site_of
 from ..operators.catalog import Catalog
+from ..operators.scratch import cut
 from ..sources import probe
 from ..sources.tables import read_files
 
@@ -34,26 +35,46 @@ def import_files(catalog: Catalog, path: str) -> DataFrame:
     return catalog.add_files(unwrapped(raw_files(catalog.spark, path)))
 
 
-def extract_all(catalog: Catalog, depth: int = 8) -> int:
+def extract_all(catalog: Catalog) -> int:
     """Unpack every extractable entry without children, then what that brought, until nothing is
-    new or `depth` rounds are done. Children get parent_id and source of their archive."""
-    added = 0
-    for _ in range(depth):
+    new. Children get parent_id and source of their archive. An archive equal to one it lies in,
+    unpacked in this call, would unpack for ever: it stays packed."""
+    added, within = 0, None
+    while True:
         entries = catalog.entries
         open_ = entries.where(~F.col("is_dir")).where(is_extractable(F.col("name")) & (F.col("data_size") > 0))
         open_ = open_.join(entries.select(F.col("parent_id").alias("id")).where("id is not null"), "id", "left_anti")
+        if within is not None:
+            open_ = open_.join(within, "id").where(~F.array_contains("outer", F.col("data_sha256")))
+        else:
+            open_ = open_.withColumn("outer", F.array().cast("array<string>"))
+        open_ = cut(open_.select("id", "name", F.array_append("outer", F.col("data_sha256")).alias("outer")))
         packed = open_.select("id", "name").join(catalog.forks.select("id", "data_fork"), "id")
         files = read_files(packed.withColumnRenamed("data_fork", "content"), "any", source="id").where("error is null")
-        names = packed.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
+        names = open_.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
         rows = files.join(names, "source_id").select(
             F.col("source_id").alias("parent_id"), "source", F.regexp_extract("name", r"([^/]*)$", 1).alias("name"), F.col("name").alias("path"), "data_fork", "rsrc_fork", "type_code", "creator_code",
             "finder_flags", F.col("created").alias("created_at"), F.col("modified").alias("modified_at"),
         )
-        new = catalog.add_files(rows, ["parent_id", "path", "name", "data_sha256"]).count()
-        added += new
-        if not new:
-            break
-    return added
+        new = catalog.add_files(rows, ["parent_id", "path", "name", "data_sha256"])
+        within = cut(new.select("id", "parent_id").join(open_.select(F.col("id").alias("parent_id"), "outer"), "parent_id").select("id", "outer"))
+        count = within.count()
+        if not count:
+            return added
+        added += count
+
+
+def listed(rows: DataFrame, reader: str = "any") -> DataFrame:
+    """What archives and images hold, without the bytes: source_id, ordinal, name, sizes, codes, error."""
+    files = read_files(rows, reader)
+    return files.select("source_id", "ordinal", "name", F.octet_length("data_fork").alias("data_size"), F.octet_length("rsrc_fork").alias("rsrc_size"), "type_code", "creator_code", "error")
+
+
+def extract_selected(rows: DataFrame, chosen: DataFrame, reader: str = "any") -> DataFrame:
+    """Of archives and images (source_id, name, content) only the chosen members (source_id, name).
+    Sources of which nothing is chosen aren't opened."""
+    wanted = rows.join(chosen.select("source_id").distinct(), "source_id", "left_semi")
+    return read_files(wanted, reader).join(chosen.select("source_id", "name").distinct(), ["source_id", "name"], "left_semi")
 
 
 def import_downloads(catalog: Catalog, downloads: DataFrame) -> DataFrame:
@@ -87,6 +108,49 @@ def parse_index_id(index_id: Column) -> Column:
     return F.struct(path.alias("path"), F.when(kind == "file", F.regexp_extract(index_id, r"([^/]*)$", 1)).alias("id"))
 
 
+def store_index(documents: DataFrame, path: str) -> None:
+    """Index documents as a Parquet table, one folder for each scope (vault or file, and the catalog); a scope written again is replaced."""
+    scoped = documents.withColumn("scope", F.sha2(index_scope(F.col("index_id")), 256))
+    spark = documents.sparkSession
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        scoped.write.mode("overwrite").partitionBy("scope").parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+
+
+def index_scope(index_id: Column) -> Column:
+    """What is removed together: all documents of one catalog."""
+    return F.when(index_id.startswith("vault:"), index_id).otherwise(F.regexp_extract(index_id, r"^(.*)/[^/]*$", 1))
+
+
+def without_scope(documents: DataFrame, scope: str) -> DataFrame:
+    """The index documents of all other catalogs."""
+    return documents.where(~index_scope(F.col("index_id")).eqNullSafe(F.lit(scope)))
+
+
+def store_thumbnails(catalog: Catalog, side: int = 128) -> int:
+    """Thumbnails of the files that have none yet; how many were made."""
+    missing = catalog.with_forks(catalog.entries.where(~F.col("is_dir"))).join(catalog.thumbnails.select("id"), "id", "left_anti")
+    made = cut(thumbnails(missing, side))
+    count = made.count()
+    if count:
+        catalog.set_thumbnails(made)
+    return count
+
+
+def store_conversions(catalog: Catalog, ids: DataFrame | None = None) -> DataFrame:
+    """Converted files beside their originals: same parent, path and source. Names that are there already are left out."""
+    rows = catalog.entries.where(~F.col("is_dir"))
+    rows = rows.join(ids.select("id"), "id", "left_semi") if ids is not None else rows
+    made = converted(catalog.with_forks(rows)).select("id", F.col("name").alias("new"), "content")
+    beside = rows.join(made, "id").select(F.col("new").alias("name"), "path", "parent_id", "source", F.col("content").alias("data_fork"), F.lit(b"").alias("rsrc_fork"))
+    old = catalog.entries.select("name", F.coalesce("parent_id", F.lit("")).alias("_p"))
+    new = beside.withColumn("_p", F.coalesce("parent_id", F.lit(""))).join(old, ["name", "_p"], "left_anti").drop("_p")
+    return catalog.add_files(new, ["path", "name", "data_sha256"])
+
+
 def thumbnails(rows: DataFrame, side: int = 128) -> DataFrame:
     """id and PNG of entries with forks: MacPaint, icon or sound, the first that works; others have none."""
     marked = rows.select("id", "data_fork", "rsrc_fork", is_mac_paint(F.col("name"), F.col("type_code")).alias("paint"))

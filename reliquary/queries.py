@@ -11,7 +11,6 @@ import tarfile
 import zipfile
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ from .operators import listing
 from .operators.catalog import entry_json, fork_facts, with_defaults
 from .plans import export, ingest
 from .sources import containers, disks, probe, volumes
-from .sources.tables import read_files, read_partitions, read_resources
+from .sources.tables import gathered, read_files, read_image_info, read_partitions, read_resources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,7 +76,7 @@ def entry_count(spark, sf):
 
 @query(E + "SELECT id, name, path, data_size FROM e WHERE id = '0042'")
 def entry_lookup(spark, sf):
-    return catalog(spark, sf).where("id = '0042'").select("id", "name", "path", "data_size")
+    return listing.entry(catalog(spark, sf), "0042").select("id", "name", "path", "data_size")
 
 
 @query(E + "SELECT id, name FROM e WHERE lower(name) LIKE '%doc1_.t%' OR lower(path) LIKE '%doc1_.t%' OR lower(source) LIKE '%doc1_.t%' OR lower(type_code) LIKE '%doc1_.t%' OR lower(creator_code) LIKE '%doc1_.t%'")
@@ -100,9 +99,15 @@ def grouped_by_folder(spark, sf):
     return listing.by_folder(catalog(spark, sf).withColumn("name", F.col("path")))
 
 
-@query(E + "SELECT id FROM e WHERE contains(lower(type_code), 'p') AND contains(lower(creator_code), 'tt') AND (rsrc_size > 0) = true AND data_size >= 500 AND data_size <= 50000")
+@query(E + """
+SELECT id, 'plain' AS kind FROM e WHERE contains(lower(type_code), 'p') AND contains(lower(creator_code), 'tt') AND (rsrc_size > 0) = false AND data_size >= 500 AND data_size <= 50000
+UNION ALL SELECT id, 'forked' FROM e WHERE contains(lower(type_code), 'ex') AND (rsrc_size > 0) = true AND data_size <= 20000
+UNION ALL SELECT id, 'large' FROM e WHERE data_size >= 5000""")
 def conjunctive_filter(spark, sf):
-    return listing.filtered(catalog(spark, sf), "P", "tt", True, 500, 50_000).select("id")
+    e = catalog(spark, sf)
+    kinds = {"plain": listing.filtered(e, "P", "tt", False, 500, 50_000), "forked": listing.filtered(e, "eX", has_rsrc=True, max_size=20_000), "large": listing.filtered(e, min_size=5000)}
+    parts = [rows.select("id", F.lit(kind).alias("kind")) for kind, rows in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(E + "SELECT count(*) FILTER (NOT is_dir) AS files, count(*) FILTER (is_dir) AS dirs, count(*) FILTER (parent_id IS NULL) AS roots, count(*) FILTER (rsrc_size > 0) AS with_rsrc, CAST(coalesce(sum(data_size), 0) AS BIGINT) AS data_bytes, CAST(coalesce(sum(rsrc_size) FILTER (rsrc_size > 0), 0) AS BIGINT) AS rsrc_bytes FROM e")
@@ -152,6 +157,33 @@ def delete_cascade(spark, sf):
     return entries.join(gone, "id", "left_anti").select("id", "name")
 
 
+def chain(spark, sf) -> DataFrame:
+    """Documents in chains: each is the parent of the next, up to 150 levels deep."""
+    at = F.col("doc_id")
+    return table(spark, sf, "documents").select(at.cast("string").alias("id"), F.when(at % 150 > 0, at - 1).cast("string").alias("parent_id"), F.concat(F.lit("d"), at % 7).alias("name"))
+
+
+_CHAIN = """
+WITH RECURSIVE p AS (
+  SELECT doc_id, 'd' || doc_id % 7 AS path, 0 AS depth FROM documents WHERE doc_id % 150 = 0
+  UNION ALL SELECT d.doc_id, p.path || '/d' || d.doc_id % 7, p.depth + 1 FROM p JOIN documents d ON d.doc_id = p.doc_id + 1 WHERE d.doc_id % 150 > 0
+)"""
+
+
+@query(_CHAIN + "SELECT CAST(doc_id AS VARCHAR) AS id, path, depth FROM p")
+def deep_paths(spark, sf):
+    return listing.paths(chain(spark, sf))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 150 < 40 OR doc_id // 150 % 2 = 1")
+def deep_delete(spark, sf):
+    """From level 40 on, every other chain goes."""
+    entries = chain(spark, sf)
+    number = F.col("id").cast("long")
+    gone = listing.subtree(entries, entries.where((number % 150 == 40) & (F.floor(number / 150) % 2 == 0)).select("id"))
+    return entries.join(gone, "id", "left_anti").select(number.alias("doc_id"))
+
+
 @query(E + "SELECT parent_id, count(*) AS children, list(name ORDER BY name) AS names FROM e WHERE parent_id IS NOT NULL GROUP BY 1")
 def tree_children(spark, sf):
     return listing.tree(catalog(spark, sf))
@@ -169,10 +201,32 @@ def first_occurrence(spark, sf):
     return listing.first_of_each(rows)
 
 
-@query(E + "SELECT id, name FROM e WHERE name IN (SELECT 'doc' || CAST(l.doc_id AS VARCHAR) || '.txt' FROM labels l)")
+def _zips(spark, sf) -> DataFrame:
+    """Of each document an archive of its text, its language and its source."""
+
+    def build(r):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in (("text.txt", r["data"]), ("lang", r["lang"].encode()), ("deep/source", r["source"].encode())):
+                z.writestr(name, body)
+        return [{"source_id": str(r["doc_id"]), "name": f"{r['doc_id']}.zip", "content": out.getvalue()}]
+
+    return mapped(table(spark, sf, "documents").select("doc_id", "lang", "source", F.encode("text", "utf-8").alias("data")), "source_id string, name string, content binary", build)
+
+
+@query("SELECT doc_id, 'text.txt' AS name, sha256(text) AS sha256 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND text <> '' UNION ALL SELECT doc_id, 'deep/source', sha256(source) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def selected_members(spark, sf):
-    chosen = table(spark, sf, "labels").select(F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("name"))
-    return catalog(spark, sf).join(chosen, "name", "left_semi").select("id", "name")
+    """Only the chosen members of labelled documents' archives."""
+    labels = table(spark, sf, "labels")
+    chosen = labels.select(F.col("doc_id").cast("string").alias("source_id"), F.lit("text.txt").alias("name"))
+    chosen = chosen.unionByName(labels.where("toxic = 1").select(F.col("doc_id").cast("string").alias("source_id"), F.lit("deep/source").alias("name")))
+    files = ingest.extract_selected(_zips(spark, sf), chosen, "archive").where("octet_length(data_fork) > 0")
+    return files.select(F.col("source_id").cast("long").alias("doc_id"), "name", F.sha2("data_fork", 256).alias("sha256"))
+
+
+@query("SELECT doc_id, 'text.txt' AS name, octet_length(encode(text)) AS data_size FROM documents UNION ALL SELECT doc_id, 'lang', octet_length(encode(lang)) FROM documents UNION ALL SELECT doc_id, 'deep/source', octet_length(encode(source)) FROM documents")
+def member_lists(spark, sf):
+    return ingest.listed(_zips(spark, sf), "archive").select(F.col("source_id").cast("long").alias("doc_id"), "name", "data_size")
 
 
 @query("SELECT 'f/' || doc_id AS name, CASE WHEN doc_id % 2 = 0 THEN 'near' WHEN doc_id % 3 = 0 THEN 'mac' WHEN doc_id % 5 = 0 THEN 'bare' END AS companion FROM documents")
@@ -234,9 +288,15 @@ def hls_listing(spark, sf):
     return listing.hls_paths(rows.withColumn("line", line))
 
 
-@query("SELECT s_suppkey // 4 AS bucket, CAST(min(s_acctbal) AS DOUBLE) AS low, CAST(max(s_acctbal) AS DOUBLE) AS high FROM supplier GROUP BY 1")
+@query("""
+WITH b AS (SELECT doc_id, octet_length(encode(text)) AS n, hex(encode(text)) AS h FROM documents WHERE text <> ''), p AS (SELECT doc_id, greatest(1, n // 16) AS step, n, h FROM b),
+v AS (SELECT doc_id, step, n, unnest(range(0, n)) AS i, h FROM p), w AS (SELECT doc_id, i // step AS bucket, CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS INT) AS b FROM v)
+SELECT doc_id, bucket, min(b) AS low, max(b) AS high FROM w WHERE bucket < 16 GROUP BY 1, 2""")
 def envelope_minmax(spark, sf):
-    return table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 4).alias("bucket")).agg(F.min("s_acctbal").alias("low"), F.max("s_acctbal").alias("high"))
+    """Least and largest byte of each sixteenth of a text, as of 8-bit samples."""
+    rows = table(spark, sf, "documents").where("text <> ''").select("doc_id", F.encode("text", "utf-8").alias("data"))
+    ends = lambda r: [{"doc_id": r["doc_id"], "bucket": i, "low": low, "high": high} for i, (low, high) in enumerate(resources.envelope(r["data"], 16))]
+    return mapped(rows, "doc_id long, bucket long, low int, high int", ends)
 
 
 # Rows and labels
@@ -338,38 +398,79 @@ def read_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.read_text(data).alias("plain"), text.charset(data).alias("charset"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS plain FROM documents")
+#: What stands for some ASCII letters where bytes over 0x7F are wanted: MacRoman's code and character of each.
+_HIGH_MAC = str.maketrans({"a": "ä", "e": "é", "i": "í", "o": "ö", "u": "ü", "n": "ñ", "c": "ç", "d": "†", "q": "“", "x": "∞"})
+_CYRILLIC = "".join(map(chr, range(0x430, 0x430 + 26)))
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')"
+
+
+def _high(spark, sf, codec: str, shown: str) -> DataFrame:
+    """doc_id, data: the text's ASCII, each small letter written as the codec's byte for what is shown for it."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    return table(spark, sf, "documents").select("doc_id", F.encode(F.translate(plain, _LETTERS, shown.encode(codec).decode("latin-1")), "ISO-8859-1").alias("data"))
+
+
+@query(f"SELECT doc_id, translate({_ASCII}, '{_LETTERS}', '{_LETTERS.translate(_HIGH_MAC)}') AS plain FROM documents")
 def mac_roman_text(spark, sf):
-    """ASCII is the same in MacRoman; characters outside it became '?' when encoded."""
-    return table(spark, sf, "documents").select("doc_id", binary.col_mac_roman(F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), "US-ASCII")).alias("plain"))
+    """Half of the vowels and some consonants are bytes over 0x7F."""
+    return _high(spark, sf, "mac_roman", _LETTERS.translate(_HIGH_MAC)).select("doc_id", binary.col_mac_roman(F.col("data")).alias("plain"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS plain FROM documents")
+@query(f"SELECT doc_id, translate({_ASCII}, '{_LETTERS}', '{_CYRILLIC}') AS plain FROM documents")
 def charset_convert(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.decode_as(F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), "US-ASCII"), "MacCyrillic").alias("plain"))
+    return _high(spark, sf, "cp1251", _CYRILLIC).select("doc_id", text.decode_as(F.col("data"), "MacCyrillic").alias("plain"))
+
+
+@query(f"SELECT doc_id, translate({_ASCII}, '{_LETTERS}', '{_LETTERS.translate(_HIGH_MAC)}') AS plain, CASE WHEN regexp_matches(text, '[aeioundcqx]') THEN 'MacRoman' ELSE 'UTF-8' END AS charset FROM documents")
+def read_legacy_text(spark, sf):
+    """Bytes that aren't UTF-8 are taken as MacRoman."""
+    return _high(spark, sf, "mac_roman", _LETTERS.translate(_HIGH_MAC)).select("doc_id", text.read_text(F.col("data")).alias("plain"), text.charset(F.col("data")).alias("charset"))
 
 
 _DUMP = """
 WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n, hex(encode(text)) AS h FROM documents),
-r AS (SELECT doc_id, n, h, unnest(range(0, least(n, 4096), 16)) AS o FROM d),
-x AS (SELECT doc_id, n, o, h[2 * o + 1 : least(2 * (o + 16), 2 * least(n, 4096))] AS p FROM r),
+r AS (SELECT doc_id, n, h, unnest(range(0, n, 16)) AS o FROM d),
+x AS (SELECT doc_id, n, o, h[2 * o + 1 : least(2 * (o + 16), 2 * n)] AS p FROM r),
 y AS (SELECT doc_id, n, o, upper(printf('%08x', o)) || '  ' || rpad(regexp_replace(p[1:16], '(..)', '\\1 ', 'g'), 24, ' ') || ' ' || rpad(regexp_replace(p[17:32], '(..)', '\\1 ', 'g'), 24, ' ') || '|'
   || list_aggregate(list_transform(range(0, len(p) // 2), lambda i: CASE WHEN CAST('0x' || p[2 * i + 1 : 2 * i + 2] AS INT) BETWEEN 32 AND 126 THEN chr(CAST('0x' || p[2 * i + 1 : 2 * i + 2] AS INT)) ELSE '.' END), 'string_agg', '') || '|' AS line FROM x),
 z AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY o) AS dump FROM y GROUP BY 1)
-SELECT d.doc_id, coalesce(z.dump, '') || CASE WHEN n > 4096 THEN chr(10) || '... (' || (n - 4096) || ' more bytes)' ELSE '' END AS dump FROM d LEFT JOIN z USING (doc_id)"""
+SELECT d.doc_id, coalesce(z.dump, '') AS dump FROM d LEFT JOIN z USING (doc_id)"""
 
 
 @query(_DUMP)
 def hex_dump(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.hex_dump(F.encode("text", "utf-8")).alias("dump"))
+    return table(spark, sf, "documents").select("doc_id", text.hex_dump(F.encode("text", "utf-8"), None).alias("dump"))
 
 
-@query("""
-WITH r AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', chr(1), 'g'), '[\\x20-\\x7E\\x0D\\x0A]{12,}') AS runs FROM documents)
-SELECT doc_id, list_transform(list_filter(runs, lambda r: len(regexp_replace(r, '[^A-Za-z ]', '', 'g')) > len(r) * CAST(0.5 AS DOUBLE)), lambda r: trim(r, ' ')) AS runs FROM r""")
+@query(_DUMP.replace("o FROM d),", "o FROM (SELECT doc_id, least(n, 64) AS n, h[1:128] AS h FROM d)),").replace("SELECT d.doc_id, coalesce(z.dump, '') AS dump", "SELECT d.doc_id, coalesce(z.dump, '') || CASE WHEN n > 64 THEN chr(10) || '... (' || (n - 64) || ' more bytes)' ELSE '' END AS dump"))
+def hex_preview(spark, sf):
+    """The first four rows, and what is left out."""
+    return table(spark, sf, "documents").select("doc_id", text.hex_dump(F.encode("text", "utf-8"), 64).alias("dump"))
+
+
+def _runs_sql(least: int, tabs: str) -> str:
+    high = "".join(sorted(set(_LETTERS.translate(_HIGH_MAC)) - set(_LETTERS)))
+    plain = f"translate(translate({_ASCII}, '?', chr(1)), '{_LETTERS}', '{_LETTERS.translate(_HIGH_MAC)}')"
+    return f"""
+WITH r AS (SELECT doc_id, regexp_extract_all({plain}, '[\\x20-\\x7E\\x0D\\x0A{tabs}{high}]{{{least},}}') AS runs FROM documents)
+SELECT doc_id, list_transform(list_filter(runs, lambda r: len(regexp_replace(r, '[^A-Za-z ]', '', 'g')) > len(r) * CAST(0.5 AS DOUBLE)), lambda r: trim(r, ' ')) AS runs FROM r"""
+
+
+def _run_bytes(spark, sf) -> DataFrame:
+    rows = _high(spark, sf, "mac_roman", _LETTERS.translate(_HIGH_MAC))
+    return rows.select("doc_id", F.encode(F.translate(F.decode("data", "ISO-8859-1"), "?", "\x01"), "ISO-8859-1").alias("data"))
+
+
+@query(_runs_sql(12, ""))
 def text_runs(spark, sf):
-    data = F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", "\x01"), "US-ASCII")
-    return table(spark, sf, "documents").select("doc_id", text.text_runs(data, 12).alias("runs"))
+    return _run_bytes(spark, sf).select("doc_id", text.text_runs(F.col("data"), 12).alias("runs"))
+
+
+@query(_runs_sql(8, "\\x09"))
+def document_runs(spark, sf):
+    """Tabs are part of a run, as in word processors' files."""
+    return _run_bytes(spark, sf).select("doc_id", text.text_runs(F.col("data"), 8, tabs=True).alias("runs"))
 
 
 def _markdown_sql() -> str:
@@ -462,11 +563,7 @@ def fixed_width_numbers(spark, sf):
 def mapped(df: DataFrame, schema: str, fn) -> DataFrame:
     """fn makes a list of dicts of each row."""
     def task(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                out = [x for r in b.slice(at, 64).to_pylist() for x in fn(r)]
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=kinds)
+        yield from gathered((x for b in batches for at in range(0, b.num_rows, 64) for r in b.slice(at, 64).to_pylist() for x in fn(r)), kinds)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -595,11 +692,27 @@ codec_query("codec_lzw2", lambda b: encoders.lzw(b, 2), lambda b, n: codecs.unlz
 codec_query("codec_lzhuf", encoders.lzhuf, codecs.unlzhuf)
 
 
-@query("SELECT doc_id, 36 + octet_length(encode(text)) AS riff_size, octet_length(encode(text)) + 44 AS wav_size FROM documents")
+@query("SELECT doc_id, 36 + octet_length(encode(text)) AS riff_size, octet_length(encode(text)) AS data_size, 22050 AS rate, 8 AS bits, sha256(text) AS sha256, '52494646' AS mark FROM documents")
 def wav_headers(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.encode("text", "utf-8").alias("data"))
     built = mapped(rows, "doc_id long, wav binary", lambda r: [{"doc_id": r["doc_id"], "wav": codecs.wav(r["data"], 22050)}])
-    return built.select("doc_id", binary.col_le(F.col("wav"), 4, 4).cast("int").alias("riff_size"), F.octet_length("wav").alias("wav_size"))
+    number = lambda at, n: binary.col_le(F.col("wav"), at, n).cast("int")
+    return built.select("doc_id", number(4, 4).alias("riff_size"), number(40, 4).alias("data_size"), number(24, 4).alias("rate"), number(34, 2).alias("bits"), F.sha2(F.expr("substring(wav, 45)"), 256).alias("sha256"), F.hex(F.substring("wav", 1, 4)).alias("mark"))
+
+
+_BITS = "xor(CAST((c * 2) % 65536 AS INT), CASE WHEN xor(CAST(c // 32768 AS INT), CAST(CAST('0x' || h[2 * (i // 8) + 1 : 2 * (i // 8) + 2] AS INT) // CAST(power(2, 7 - i % 8) AS INT) % 2 AS INT)) = 1 THEN 4129 ELSE 0 END)"
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT p_partkey, hex(encode(p_name)) AS h, octet_length(encode(p_name)) AS n FROM part),
+c AS (SELECT p_partkey, h, n, 0 AS i, 0 AS c FROM n UNION ALL SELECT p_partkey, h, n, i + 1, {_BITS} FROM c WHERE i < 8 * n),
+w AS (SELECT p_partkey, h, n, 0 AS i, CAST(0 AS BIGINT) AS s FROM n UNION ALL
+  SELECT p_partkey, h, n, i + 1, (s + CAST('0x' || h[4 * i + 1 : 4 * i + 4] AS INT)) % 4294967296 // 2 + (s + CAST('0x' || h[4 * i + 1 : 4 * i + 4] AS INT)) % 2 * 2147483648 FROM w WHERE i < n // 2)
+SELECT c.p_partkey, c.c AS crc, w.s AS rotated FROM c JOIN w USING (p_partkey) WHERE c.i = 8 * c.n AND w.i = w.n // 2""")
+def name_checksums(spark, sf):
+    """CRC-16 bit by bit, and the rotating checksum word by word, of part names."""
+    rows = table(spark, sf, "part").select("p_partkey", F.encode("p_name", "utf-8").alias("data"))
+    return mapped(rows, "p_partkey long, crc int, rotated long", lambda r: [{"p_partkey": r["p_partkey"], "crc": codecs.crc16(r["data"]), "rotated": codecs.rotating_checksum(r["data"])}])
 
 
 @query()
@@ -678,6 +791,57 @@ volume_query("volume_pascal", lambda f: volumes.write_pascal("TALK", f), "n")
 volume_query("volume_rdos", volumes.write_rdos, "n", "volume")
 disks_query("volume_gutenberg", volumes.gutenberg_disks, "(n + 249) // 250 * 250")
 disks_query("hybrid_disk", volumes.dos_disks, "(n + 255) // 256 * 256", "hybrid")
+
+
+def _two_systems(files):
+    """A DOS disk whose empty track 3 holds a CP/M directory and whose other file systems it shares no sector with."""
+    disk = bytearray(volumes.dos_disks(files[:1] and [containers.file(name="DOSSIDE", data_fork=files[0]["data_fork"][:2000], type_code="TEXT")])[0])
+    body = files[-1]["data_fork"][:896].ljust(896, b"\x1a")
+    disk[12_288 + 2048 : 12_288 + 2048 + 896] = body
+    disk[12_288 : 12_288 + 2048] = b"\xe5" * 2048
+    disk[12_288 : 12_288 + 32] = bytes([0]) + b"CPMSIDE TXT" + bytes([0, 0, 0, 7]) + bytes([2]).ljust(16, b"\0")
+    return bytes(disk)
+
+
+@query("""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, encode(text)) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE text <> '')
+SELECT conv_id, 'DOSSIDE' AS name, sha256(unhex(hex(encode(text))[1:4000])) AS sha256 FROM t WHERE k = 1
+UNION ALL SELECT conv_id, 'CPMSIDE.TXT', sha256(unhex(hex(encode(text))[1:1792])) FROM t WHERE k = n""")
+def hybrid_union(spark, sf):
+    """One disk with two file systems: both readers' files come out."""
+    files = read_files(conversations_as(spark, sf, _two_systems), "hybrid")
+    plain = F.unhex(F.regexp_replace(F.hex("data_fork"), "(00|1A)+$", ""))
+    return files.select(F.col("source_id").cast("long").alias("conv_id"), "name", F.sha2(plain, 256).alias("sha256"))
+
+
+def _dual(files):
+    sides = [volumes.dos_disks([containers.file(name=f"T{k}", data_fork=f["data_fork"][:20_000], type_code="TEXT")])[0].ljust(409_600, b"\0") for k, f in enumerate((files[0], files[-1]))]
+    return b"".join(sides)
+
+
+@query("""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, encode(text)) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE text <> '')
+SELECT conv_id, 'T0' AS name, sha256(unhex(hex(encode(text))[1:40000])) AS sha256 FROM t WHERE k = 1 UNION ALL SELECT conv_id, 'T1', sha256(unhex(hex(encode(text))[1:40000])) FROM t WHERE k = n""")
+def dual_volumes(spark, sf):
+    """Two DOS volumes side by side on an 800K disk."""
+    files = read_files(conversations_as(spark, sf, _dual), "dual_dos")
+    return files.select(F.col("source_id").cast("long").alias("conv_id"), "name", F.sha2(F.unhex(F.regexp_replace(F.hex("data_fork"), "(00)+$", "")), 256).alias("sha256"))
+
+
+@query("""
+SELECT conv_id, CASE n % 4 WHEN 0 THEN '2img' WHEN 1 THEN 'diskcopy' WHEN 2 THEN 'woz' ELSE 'moof' END AS format,
+  CASE n % 4 WHEN 0 THEN 'ProDOS block order' WHEN 2 THEN 'WOZ v2 (nibble-level)' WHEN 3 THEN 'MOOF (Mac flux image)' END AS disk_type,
+  CASE n % 4 WHEN 1 THEN 'T' || conv_id END AS name, CAST(CASE WHEN n % 4 < 2 THEN 143360 ELSE 1000 END AS BIGINT) AS data_size
+FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE text <> '' GROUP BY 1)""")
+def image_info(spark, sf):
+    def build(r):
+        kinds = (lambda: disks.write_two_img(bytes(143_360)), lambda: disks.write_disk_copy(f"T{r['conv_id']}", bytes(143_360)), lambda: b"WOZ2".ljust(1000, b"\0"), lambda: b"MOOF".ljust(1000, b"\0"))
+        return [{"source_id": str(r["conv_id"]), "name": "disk", "content": kinds[r["n"] % 4]()}]
+
+    rows = mapped(table(spark, sf, "conversations").where("text <> ''").groupBy("conv_id").agg(F.count("*").alias("n")), "source_id string, name string, content binary", build)
+    return read_image_info(rows).select(F.col("source_id").cast("long").alias("conv_id"), "format", "disk_type", "name", "data_size")
+
+
 volume_query("image_diskcopy", lambda f: disks.write_disk_copy("Talk", volumes.write_pascal("TALK", f), b"tag!" * 6), "n")
 volume_query("image_2img", lambda f: disks.write_two_img(volumes.write_prodos("TALK", f)), "n")
 volume_query("image_dart", lambda f: disks.write_dart(volumes.write_pascal("TALK", f)), "n")
@@ -754,9 +918,18 @@ def resource_contents(spark, sf):
     return mapped(forks(spark, sf), "doc_id long, one string, many array<string>, major int, minor int, stage string, short string, jump long", decode)
 
 
-@query("SELECT doc_id, 'ICN#' AS type_code, CAST(200 AS SMALLINT) AS resource_id FROM documents")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'icl8' WHEN 1 THEN 'icl4' ELSE 'ICN#' END AS type_code, CAST(CASE doc_id % 3 WHEN 0 THEN 9 WHEN 1 THEN 7 ELSE 200 END AS SMALLINT) AS resource_id FROM documents")
 def best_icons(spark, sf):
-    return listing.best_icons(read_resources(forks(spark, sf))).select(F.col("owner_id").cast("long").alias("doc_id"), "type_code", "resource_id")
+    """Of several candidates the best kind, and of equal kinds the first."""
+    rows = table(spark, sf, "documents").select("doc_id")
+
+    def build(r):
+        icons = [("ics#", 3, None, bytes(64)), ("ICN#", 200, None, bytes(256)), ("ICN#", 100, None, bytes(256)), ("cicn", 1, None, bytes(90))]
+        icons += [("icl4", 7, None, bytes(512)), ("icl4", 5, None, bytes(512))] * (r["doc_id"] % 3 < 2) + [("icl8", 9, None, bytes(1024))] * (r["doc_id"] % 3 == 0)
+        return [{"id": str(r["doc_id"]), "rsrc_fork": resources.build_fork(icons)}]
+
+    found = listing.best_icons(read_resources(mapped(rows, "id string, rsrc_fork binary", build)))
+    return found.select(F.col("owner_id").cast("long").alias("doc_id"), "type_code", "resource_id")
 
 
 @query("SELECT t AS type_code, d AS description, count(*) AS n FROM documents, (VALUES ('STR ', 'String resource'), ('STR#', 'String list resource'), ('vers', 'Version information'), ('ICN#', '32×32 icon with mask'), ('CODE', '68K code segment')) v(t, d) GROUP BY 1, 2")
@@ -781,13 +954,137 @@ def thumbnails(spark, sf):
     return ingest.thumbnails(rows).select("id", F.octet_length("png").alias("size"))
 
 
-@query(E + "SELECT CASE WHEN parent_id IS NULL THEN '' ELSE 'doc' || CAST(CAST(parent_id AS BIGINT) AS VARCHAR) || CASE CAST(parent_id AS BIGINT) % 6 WHEN 0 THEN '.txt' WHEN 2 THEN '.img' WHEN 4 THEN '' END || '/' END || name AS path, sha256(CAST(name AS VARCHAR)) AS sha256 FROM e WHERE NOT is_dir")
+_FULL = "CASE WHEN parent_id IS NULL THEN '' ELSE 'doc' || CAST(CAST(parent_id AS BIGINT) AS VARCHAR) || CASE CAST(parent_id AS BIGINT) % 6 WHEN 0 THEN '.txt' WHEN 2 THEN '.img' WHEN 4 THEN '' END || '/' END"
+
+
+@query(E + f"""
+SELECT {_FULL} || name AS path, sha256(CAST(name AS VARCHAR)) AS sha256, NULL AS type_code, NULL AS creator_code FROM e WHERE NOT is_dir
+UNION ALL SELECT {_FULL} || '._' || name, sha256(CASE WHEN rsrc_size > 0 THEN source ELSE '' END), CASE WHEN type_code <> '' THEN type_code END, CASE WHEN creator_code <> '' THEN creator_code END
+FROM (SELECT * REPLACE (CASE WHEN finder_flags % 5 = 0 AND rsrc_size = 0 THEN NULL ELSE type_code END AS type_code) FROM e) WHERE NOT is_dir AND source IS NOT NULL AND (rsrc_size > 0 OR coalesce(type_code, '') <> '')
+UNION ALL SELECT {_FULL} || '._' || name, sha256(''), type_code, creator_code
+FROM (SELECT * REPLACE (CASE WHEN finder_flags % 5 = 0 AND rsrc_size = 0 THEN NULL ELSE type_code END AS type_code) FROM e) WHERE NOT is_dir AND source IS NULL AND coalesce(type_code, '') <> ''""")
 def export_rows(spark, sf):
-    entries = catalog(spark, sf).withColumn("type_code", F.lit(None).cast("string"))
-    files = entries.select("id", F.encode("name", "utf-8").alias("data_fork"), F.lit(b"").alias("rsrc_fork"))
-    return export.export_rows(entries, files).select("path", F.sha2("content", 256).alias("sha256"))
+    """Data forks, and beside them companions that say type, creator and resource fork when read again."""
+    plain = (F.col("finder_flags") % 5 == 0) & (F.col("rsrc_size") == 0)
+    entries = catalog(spark, sf).withColumn("type_code", F.when(~plain, F.col("type_code")))
+    forks_ = entries.select("id", F.encode("name", "utf-8").alias("data_fork"), F.encode(F.when(F.col("rsrc_size") > 0, F.coalesce("source", F.lit(""))).otherwise(""), "utf-8").alias("rsrc_fork"))
+    files = export.export_rows(entries, forks_)
+    hidden = F.regexp_extract("path", r"([^/]*)$", 1).startswith("._")
+    read = read_files(files.where(hidden).select(F.col("path").alias("source_id"), F.lit("x").alias("name"), "content"), "container")
+    known = lambda c: F.nullif(F.regexp_replace(c, "^\\x00+$", ""), F.lit("")).alias(c)
+    companions = read.select(F.col("source_id").alias("path"), F.sha2("rsrc_fork", 256).alias("sha256"), known("type_code"), known("creator_code"))
+    return files.where(~hidden).select("path", F.sha2("content", 256).alias("sha256")).unionByName(companions, allowMissingColumns=True)
+
+
+_JSON = " || ".join(f"""coalesce('"{c}":"' || {c} || '",', '')""" if c not in ("data_size", "rsrc_size") else f"""'"{c}":' || {c} || ','""" for c in ("creator_code", "data_sha256", "data_size", "id", "name", "path", "rsrc_size", "type_code"))
 
 
-@query(E + """SELECT id, '{"data_size":' || data_size || ',"name":"' || name || '"}' AS json FROM e""")
+@query(E + f"SELECT '{{' || rtrim({_JSON}, ',') || '}}' AS json FROM e WHERE NOT is_dir")
 def manifest_rows(spark, sf):
-    return catalog(spark, sf).select("id", F.to_json(F.struct("data_size", "name")).alias("json"))
+    return export.manifest(with_defaults(catalog(spark, sf)))
+
+
+# More resources: each built from a row, then decoded
+
+
+def _resource_query(name: str, source: str, columns: list[str], schema: str, build, sql: str) -> None:
+    def run(spark, sf):
+        return mapped(table(spark, sf, source).select(*columns), schema, build)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+def _pascal(text_: str) -> bytes:
+    raw = text_.encode("mac_roman", "replace")[:255]
+    return bytes([len(raw)]) + raw
+
+
+def _menu(r):
+    items = [(r["n_name"], "K"), ("-", ""), (f"Key {r['n_nationkey']}", "")]
+    data = r["n_nationkey"].to_bytes(2, "big") + bytes(12) + _pascal("Nations") + b"".join(_pascal(t) + bytes([0, ord(k) if k else 0, 0, 0]) for t, k in items) + b"\0"
+    m = resources.menu(data)
+    return [{"n_nationkey": r["n_nationkey"], "menu_id": m["menu_id"], "place": i, "title": x["title"], "key": x["key"], "separator": x["separator"]} for i, x in enumerate(m["items"])]
+
+
+_resource_query("resource_menus", "nation", ["n_nationkey", "n_name"], "n_nationkey long, menu_id int, place int, title string, key string, separator boolean", _menu,
+                "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_nationkey AS INT) AS menu_id, p AS place, CASE p WHEN 0 THEN n_name WHEN 1 THEN '-' ELSE 'Key ' || n_nationkey END AS title, CASE p WHEN 0 THEN 'K' END AS key, p = 1 AS separator FROM nation, (VALUES (0), (1), (2)) v(p)")
+
+
+def _dialog(r):
+    out, k = (1).to_bytes(2, "big"), r["s_suppkey"]
+    for kind, label in ((4, r["s_name"]), (0x80 | 16, "x" * (k % 4))):
+        raw = label.encode()
+        out += bytes(4) + b"".join(v.to_bytes(2, "big", signed=True) for v in (k % 100, -5, k % 100 + 20, 300)) + bytes([kind, len(raw)]) + raw + b"\0" * (len(raw) % 2)
+    return [{"s_suppkey": k, "place": i, "kind": x["kind"], "top": x["top"], "left": x["left"], "text": x["text"]} for i, x in enumerate(resources.dialog_items(out))]
+
+
+_resource_query("resource_dialogs", "supplier", ["s_suppkey", "s_name"], "s_suppkey long, place int, kind string, top int, left int, text string", _dialog,
+                "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, p AS place, CASE p WHEN 0 THEN 'button' ELSE 'editText' END AS kind, CAST(s_suppkey % 100 AS INT) AS top, -5 AS \"left\", CASE p WHEN 0 THEN s_name ELSE repeat('x', CAST(s_suppkey % 4 AS INT)) END AS text FROM supplier, (VALUES (0), (1)) v(p)")
+
+
+def _bundle(r):
+    two = lambda v: v.to_bytes(2, "big")
+    k = r["c_custkey"]
+    data = b"RELQ" + bytes(2) + two(1) + b"ICN#" + two(1) + two(0) + two(128) + two(k % 100) + two(129) + b"FREF" + two(0) + two(0) + two(200 + k % 50)
+    b = resources.bundle(data)
+    return [{"c_custkey": k, "signature": b["signature"], **x} for x in b["entries"]]
+
+
+_resource_query("resource_bundles", "customer", ["c_custkey"], "c_custkey long, signature string, type_code string, local_id int, resource_id int", _bundle,
+                "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, 'RELQ' AS signature, t AS type_code, CAST(CASE l WHEN -1 THEN c_custkey % 100 ELSE l END AS INT) AS local_id, CAST(CASE WHEN t = 'FREF' THEN 200 + c_custkey % 50 ELSE i END AS INT) AS resource_id FROM customer, (VALUES ('ICN#', 0, 128), ('ICN#', -1, 129), ('FREF', 0, 0)) v(t, l, i)")
+
+
+def _colors(r):
+    k = r["p_partkey"] % 65536
+    data = bytes(6) + (1).to_bytes(2, "big") + b"".join(v.to_bytes(2, "big") for v in (0, k, 1, 2, 7, 65535 - k, 3, 4))
+    return [{"p_partkey": r["p_partkey"], **x} for x in resources.color_table(data)]
+
+
+_resource_query("resource_colors", "part", ["p_partkey"], "p_partkey long, index int, r int, g int, b int", _colors,
+                "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, i AS \"index\", CAST(CASE i WHEN 0 THEN p_partkey % 65536 ELSE 65535 - p_partkey % 65536 END AS INT) AS r, CASE i WHEN 0 THEN 1 ELSE 3 END AS g, CASE i WHEN 0 THEN 2 ELSE 4 END AS b FROM part, (VALUES (0), (7)) v(i)")
+
+
+def _font(r):
+    k = r["n_nationkey"]
+    v = [-28672, 65, 66, 8 + k, -1, 3 + k, 9, 2 + k, 1, 4, 5 + k, 12 + k, 2]
+    f = resources.font(b"".join(x.to_bytes(2, "big", signed=True) for x in v))
+    return [{"n_nationkey": k} | {c: f[c] for c in ("kind", "first", "last", "widest", "ascent", "descent", "leading", "height")} | {"shown": resources.font_text(f)}]
+
+
+_resource_query("resource_fonts", "nation", ["n_nationkey"], "n_nationkey long, kind int, first int, last int, widest int, ascent int, descent int, leading int, height int, shown string", _font,
+                "SELECT k AS n_nationkey, -28672 AS kind, 65 AS first, 66 AS last, CAST(8 + k AS INT) AS widest, CAST(3 + k AS INT) AS ascent, 9 AS descent, CAST(2 + k AS INT) AS leading, CAST(12 + k AS INT) AS height, 'Characters: 65-66' || chr(10) || 'Max width: ' || (8 + k) || chr(10) || 'Ascent: ' || (3 + k) || chr(10) || 'Descent: 9' || chr(10) || 'Leading: ' || (2 + k) || chr(10) || 'Height: ' || (12 + k) AS shown FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation)")
+
+
+def _sound(r):
+    rate, body = 11025 + r["doc_id"] % 1000, r["data"]
+    data = (2).to_bytes(2, "big") + bytes(2) + (1).to_bytes(2, "big") + (0x8051).to_bytes(2, "big") + bytes(2) + (14).to_bytes(4, "big") + bytes(4) + len(body).to_bytes(4, "big") + (rate << 16).to_bytes(4, "big") + bytes(8) + b"\0\x3c" + body
+    s_ = resources.sound(data)
+    return [{"doc_id": r["doc_id"], "rate": s_["rate"], "bits": s_["bits"], "channels": s_["channels"], "compressed": s_["compressed"], "samples": resources.sound_samples(data)}]
+
+
+@query("SELECT doc_id, CAST(11025 + doc_id % 1000 AS INT) AS rate, 8 AS bits, 1 AS channels, false AS compressed, sha256(text) AS sha256 FROM documents")
+def resource_sounds(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.encode("text", "utf-8").alias("data"))
+    return mapped(rows, "doc_id long, rate int, bits int, channels int, compressed boolean, samples binary", _sound).select("doc_id", "rate", "bits", "channels", "compressed", F.sha2("samples", 256).alias("sha256"))
+
+
+def _pictures(r):
+    k = r["doc_id"] % 256
+    made = {"ICON": bytes([k]) * 128, "ics#": bytes([k]) * 32 + b"\xff" * 32, "CURS": bytes([k]) * 32 + b"\xff" * 32 + bytes(4), "PAT ": bytes([k]) * 8, "SICN": bytes([k]) * 32, "icl4": bytes([k]) * 512, "ics4": bytes([k]) * 128}
+    for code, data in made.items():
+        width, height, rgba = resources.render(code, data)
+        yield {"doc_id": r["doc_id"], "type_code": code, "width": width, "height": height, "dark": sum(rgba[i : i + 4] == b"\0\0\0\xff" for i in range(0, len(rgba), 4))}
+
+
+_resource_query("icon_kinds", "documents", ["doc_id"], "doc_id long, type_code string, width int, height int, dark int", _pictures,
+                "SELECT doc_id, t AS type_code, w AS width, w AS height, CAST(CASE WHEN t IN ('icl4', 'ics4') THEN w * w // 2 * ((doc_id % 256 // 16 = 15)::INT + (doc_id % 16 = 15)::INT) ELSE w * w // 8 * bit_count(CAST(doc_id % 256 AS INT)) END AS INT) AS dark FROM documents, (VALUES ('ICON', 32), ('ics#', 16), ('CURS', 16), ('PAT ', 8), ('SICN', 16), ('icl4', 32), ('ics4', 16)) v(t, w)")
+
+
+@query("SELECT doc_id, 'STR  #128 ''lang'' (' || (1 + octet_length(encode(lang))) || ' bytes)' AS first, 'CODE (1)' AS head FROM documents")
+def resource_overviews(spark, sf):
+    def show(r):
+        found = resources.parse_fork(r["rsrc_fork"])
+        return [{"doc_id": int(r["id"]), "first": resources.describe(next(x for x in found if x.type_code == "STR ")), "head": resources.overview(found).split("\n")[0]}]
+
+    return mapped(forks(spark, sf), "doc_id long, first string, head string", show)

@@ -22,6 +22,8 @@ EXTRACTED = (
 )
 RESOURCES = "owner_id string, ordinal int, type_code string, resource_id short, name string, attributes short, data_offset int, data_length int"
 PARTITIONS = "source_id string, ordinal int, scheme string, name string, type string, start_block long, block_count long, error string"
+INFO = "source_id string, format string, disk_type string, name string, data_size long, filesystem string, error string"
+_INFO = pa.schema([("source_id", pa.string()), ("format", pa.string()), ("disk_type", pa.string()), ("name", pa.string()), ("data_size", pa.int64()), ("filesystem", pa.string()), ("error", pa.string())])
 _EXTRACTED = pa.schema([
     ("source_id", pa.string()), ("ordinal", pa.int32()), ("name", pa.string()), ("data_fork", pa.binary()), ("rsrc_fork", pa.binary()), ("type_code", pa.string()), ("creator_code", pa.string()),
     ("finder_flags", pa.int32()), ("created", pa.timestamp("us")), ("modified", pa.timestamp("us")), ("error", pa.string()),
@@ -62,28 +64,39 @@ READERS = {
 }
 
 
-def _rows(table: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(table, schema=schema)
+def gathered(rows, schema: pa.Schema, most: int = 256, size: int = 8 << 20):
+    """Batches of so many rows, or of rows with so many bytes in them, at most; a larger row is alone."""
+    held, weight = [], 0
+    for r in rows:
+        own = sum(len(v) for v in r.values() if isinstance(v, (bytes, bytearray)))
+        if held and (len(held) >= most or weight + own > size):
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, weight = [], 0
+        held.append(r)
+        weight += own
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
 def read_files(df: DataFrame, reader: str = "any", source: str = "source_id", data: str = "content", name: str | None = "name", mode: str = "PERMISSIVE", forks: bool = True) -> DataFrame:
     """EXTRACTED rows of each input row. forks=False: listing only, forks stay empty."""
     read = READERS[reader]
 
-    def task(batches):
+    def rows(batches):
         for b in batches:
             for s, d, n in zip(b[source].to_pylist(), b[data], b[name].to_pylist() if name else [""] * b.num_rows, strict=True):
-                rows = []
                 try:
                     files = read(d.as_py() or b"", n or "")
                 except (ContainerError, IndexError, ValueError) as e:
                     if mode == "FAILFAST":
                         raise
-                    files, rows = [], [{"source_id": s, "ordinal": None, "error": str(e)}]
+                    files = []
+                    yield {"source_id": s, "ordinal": None, "error": str(e)}
                 for i, f in enumerate(files):
-                    rows.append(f | {"source_id": s, "ordinal": i} | ({} if forks else {"data_fork": None, "rsrc_fork": None}))
-                if rows:
-                    yield _rows(rows, _EXTRACTED)
+                    yield f | {"source_id": s, "ordinal": i} | ({} if forks else {"data_fork": None, "rsrc_fork": None})
+
+    def task(batches):
+        yield from gathered(rows(batches), _EXTRACTED)
 
     columns = [source, data] + ([name] if name else [])
     return df.select(*columns).mapInArrow(task, EXTRACTED)
@@ -91,26 +104,39 @@ def read_files(df: DataFrame, reader: str = "any", source: str = "source_id", da
 
 def read_resources(df: DataFrame, owner: str = "id", fork: str = "rsrc_fork") -> DataFrame:
     def task(batches):
-        for b in batches:
-            for o, f in zip(b[owner].to_pylist(), b[fork], strict=True):
-                rows = [r._asdict() | {"owner_id": o} for r in R.parse_fork(f.as_py() or b"")]
-                if rows:
-                    yield _rows(rows, _RESOURCES)
+        forks = ((o, f.as_py() or b"") for b in batches for o, f in zip(b[owner].to_pylist(), b[fork], strict=True))
+        yield from gathered((r._asdict() | {"owner_id": o} for o, f in forks for r in R.parse_fork(f)), _RESOURCES, 5000)
 
     return df.select(owner, fork).mapInArrow(task, RESOURCES)
 
 
 def read_partitions(df: DataFrame, source: str = "source_id", data: str = "content") -> DataFrame:
     def task(batches):
-        for b in batches:
-            for s, d in zip(b[source].to_pylist(), b[data], strict=True):
-                rows = [p._asdict() | {"source_id": s, "error": None} for p in disks.partitions(d.as_py() or b"")]
-                if rows:
-                    yield _rows([{k: r.get(k) for k in _PARTITIONS.names} for r in rows], _PARTITIONS)
+        blobs = ((s, d.as_py() or b"") for b in batches for s, d in zip(b[source].to_pylist(), b[data], strict=True))
+        found = (p._asdict() | {"source_id": s, "error": None} for s, d in blobs for p in disks.partitions(d))
+        yield from gathered(({k: r.get(k) for k in _PARTITIONS.names} for r in found), _PARTITIONS, 5000)
 
     return df.select(source, data).mapInArrow(task, PARTITIONS)
 
 
+def read_image_info(df: DataFrame, source: str = "source_id", data: str = "content") -> DataFrame:
+    """What disk images say of themselves, WOZ and MOOF included; an error for what isn't one."""
+    def info(s, d):
+        try:
+            found = disks.nibble_image(d)
+            if found is None:
+                kind, raw, said = disks.raw_sectors(d)
+                found = {"format": kind, "disk_type": said.get("order"), "name": said.get("name"), "data_size": len(raw), "filesystem": volumes.filesystem_of(raw)}
+        except (ContainerError, IndexError, ValueError) as e:
+            found = {"error": str(e)}
+        return {k: found.get(k) for k in _INFO.names} | {"source_id": s}
+
+    def task(batches):
+        yield from gathered((info(s, d.as_py() or b"") for b in batches for s, d in zip(b[source].to_pylist(), b[data], strict=True)), _INFO, 5000)
+
+    return df.select(source, data).mapInArrow(task, INFO)
+
+
 _UNWRAPPED = T.StructType([
     T.StructField("ordinal", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("data_fork", T.BinaryType()), T.StructField("rsrc_fork", T.BinaryType()),
     T.StructField("type_code", T.StringType()), T.StructField("creator_code", T.StringType()), T.StructField("finder_flags", T.IntegerType()),

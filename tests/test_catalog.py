@@ -1,20 +1,22 @@
 """The catalog's life, imports and extraction, on a temporary root."""
 
 import hashlib
+import io
 import json
+import zipfile
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from reliquary.operators import listing
-from reliquary.operators.catalog import Catalog, CatalogError, entry_json
+from reliquary.operators.catalog import KEPT, Catalog, CatalogError, entry_json, with_defaults
 from reliquary.plans import export, ingest
 from reliquary.sources import containers as W
 from reliquary.sources import disks as D
 from reliquary.sources import volumes as V
 from reliquary.sources.tables import read_files, read_resources, register
-from reliquary.functions import codecs, dates, resources, text
+from reliquary.functions import codecs, dates, encoders, resources, text
 from reliquary.streaming import dropbox
 
 FORKS = "name string, data_fork binary, rsrc_fork binary, type_code string, creator_code string, parent_id string"
@@ -92,6 +94,96 @@ def test_import_and_extract(spark, catalog, tmp_path):
     assert export.manifest(catalog.entries).count() == catalog.count()
 
 
+def test_ids_of_four_digits_and_more(spark, catalog):
+    """What add_files returns is what it stored, also where ids as strings are out of order."""
+    seed = spark.createDataFrame([("9997", "seed")], "id string, name string")
+    catalog._append("entries", with_defaults(seed))
+    added = catalog.add_files(rows(spark, *[(f"f{i}", b"x%d" % i, b"", None, None, None) for i in range(5)]))
+    assert sorted(int(r["id"]) for r in added.collect()) == [9998, 9999, 10000, 10001, 10002] and catalog.count() == 6
+    assert catalog.add_files(rows(spark).where("false")).count() == 0 and catalog.count() == 6
+
+
+def test_changes_are_seen_whole(spark, catalog):
+    """A reader who has a table open finishes on it; a manifest that was never put in place changes nothing."""
+    catalog.add_files(rows(spark, ("a", b"1", b"", None, None, None), ("b", b"2", b"", None, None, None)))
+    before, forks = catalog.entries, catalog.forks
+    names = catalog._manifests()
+    assert catalog.delete("0001") == 1
+    assert before.count() == 2 and forks.count() == 2 and catalog.count() == 1 and catalog.forks.count() == 1
+    assert len(catalog._manifests()) == min(KEPT, len(names) + 1)
+    newest = catalog.manifest()
+    stream = catalog.store.fs.create(catalog.store._path(".manifest-000099.json.new"), True)
+    stream.write(bytearray(b"{"))
+    stream.close()
+    assert catalog.manifest() == newest and catalog.count() == 1
+    for i in range(6):
+        catalog.set_thumbnails(spark.createDataFrame([("0002", b"%d" % i)], "id string, png binary"))
+    assert len(catalog._manifests()) == KEPT and len(catalog.store.names("thumbnails/*")) <= KEPT and catalog.thumbnail("0002") == b"5"
+
+
+def test_hierarchies_of_any_depth(spark):
+    deep = [(str(i), str(i - 1) if i else None, f"n{i}") for i in range(1500)] + [("x", "gone", "lost")]
+    e = spark.createDataFrame(deep, "id string, parent_id string, name string").repartition(4)
+    got = {r["id"]: r for r in listing.paths(e).collect()}
+    assert len(got) == 1500 and all(got[str(i)]["depth"] == i for i in range(1500)) and got["70"]["path"] == "/".join(f"n{i}" for i in range(71))
+    below = lambda i: listing.subtree(e, spark.createDataFrame([(i,)], "id string"))
+    assert below("300").count() == 1200 and below("1499").count() == 1 and [r["id"] for r in below("nowhere").collect()] == ["nowhere"]
+    assert listing.breadcrumb(e, "70") == [f"n{i}" for i in range(71)]
+    forks = e.select("id", F.encode("name", "utf-8").alias("data_fork"), F.lit(b"").alias("rsrc_fork"))
+    laid = export.export_rows(with_defaults(e.where("id <> 'x'")), forks)
+    assert laid.count() == 1500
+    ring = spark.createDataFrame([("1", "3", "a"), ("2", "1", "b"), ("3", "2", "c"), ("4", None, "d"), ("5", "3", "e")], "id string, parent_id string, name string")
+    with pytest.raises(ValueError, match="cycle"):
+        listing.paths(ring)
+    assert sorted(r["id"] for r in listing.subtree(ring, spark.createDataFrame([("2",)], "id string")).collect()) == ["1", "2", "3", "5"]
+    assert len(listing.breadcrumb(ring, "5")) == 4
+
+
+def test_nesting_of_any_depth(spark, catalog):
+    body, name = b"innermost", "core.txt"
+    for i in range(10):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, body)
+        body, name = out.getvalue(), f"level{i}.zip"
+    catalog.add_files(rows(spark, (name, body, b"", None, None, None)))
+    assert ingest.extract_all(catalog) == 10
+    assert len(listing.breadcrumb(catalog.entries, catalog.entries.where("name = 'core.txt'").head()["id"])) == 11
+
+
+def test_conversions_and_thumbnails_are_stored(spark, catalog, tmp_path):
+    paint = bytes(512) + codecs.pack_bits(b"\xaa" * 51840)
+    folder = catalog.add_directory("Art")
+    catalog.add_files(rows(spark, ("p", paint, b"", "PNTG", "MPNT", folder), ("note", b"caf\x8e\rend", b"", "TEXT", "ttxt", None)))
+    new = {r["name"]: r for r in ingest.store_conversions(catalog).collect()}
+    assert set(new) == {"p.png", "note.txt"} and new["p.png"]["parent_id"] == folder
+    assert catalog.data_fork(new["note.txt"]["id"]).decode() == "café\nend"
+    assert ingest.store_conversions(catalog, catalog.entries.where("name = 'p'")).count() == 0
+    assert ingest.store_thumbnails(catalog) == 1 and ingest.store_thumbnails(catalog) == 0 and catalog.thumbnail(catalog.entries.where("name = 'p'").head()["id"])[:4] == b"\x89PNG"
+    for name in ("A", "B"):
+        ingest.store_index(ingest.index_documents(catalog.entries, name, F.lit("2024-01-01").cast("timestamp_ntz")), str(tmp_path / "index"))
+    ingest.store_index(ingest.index_documents(catalog.entries.limit(2), "B", F.lit("2024-01-01").cast("timestamp_ntz")), str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.where("index_id like 'file:A/%'").count() == catalog.count() and index.where("index_id like 'file:B/%'").count() == 2
+    assert ingest.without_scope(index, "file:A").count() == 2
+    target = tmp_path / "out"
+
+    def write(path, content):
+        (target / path).parent.mkdir(parents=True, exist_ok=True)
+        (target / path).write_bytes(content)
+
+    export.write_files(export.export_rows(catalog.entries, catalog.forks), write)
+    assert (target / "Art" / "p").read_bytes() == paint and (target / "Art" / "._p").exists()
+
+
+def test_long_lzhuf_goes_there_and_back():
+    data = b"".join(b"line %d of a text that repeats; " % (i * i % 977) for i in range(1500))
+    packed = encoders.lzhuf(data)
+    assert codecs.unlzhuf(packed, len(data)) == data
+    # Symbols of a fresh tree: 314 leaves of equal weight, so the first literals have codes of eight or nine bits.
+    assert 8 <= len(codecs.AdaptiveTree().path(0)) <= 9
+
+
 def test_errors_are_rows(spark):
     bad = spark.createDataFrame([("1", "x.hqx", b"junk"), ("2", "y.txt", b"z")], "source_id string, name string, content binary")
     got = read_files(bad, "container").collect()
