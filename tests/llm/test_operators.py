@@ -590,3 +590,23 @@ def test_urls(spark):
     assert got[10]["host"] == "h.com" and got[10]["path"] == ""
     assert {got[i]["template"] for i in range(11, 41)} == {"/item/*"} and all(got[i]["verdict"] == "allow" for i in range(11, 41))
     assert url_filter.judge_urls(rows.where("false")).count() == 0
+
+
+def test_urls_labels_reach_branches_that_look_the_same(spark):
+    """A rule's blocked branch takes an unlabelled one of the same shape along, not one of another shape, nor one with labels of its own."""
+    urls = [f"http://spam.example.com/de/{i}" for i in range(40)] + [f"http://spam.example.com/it/{i}0" for i in range(30)]
+    urls += [f"http://spam.example.com/about/{''.join(chr(97 + (i * 7 + k) % 26) for k in range(5))}" for i in range(30)]
+    urls += [f"http://few.example.com/de/{i}" for i in range(3)] + [f"http://few.example.com/it/{i}" for i in range(9)]
+    urls += [f"http://mixed.org/fr/{i}" for i in range(30)] + [f"http://mixed.org/no/{i}" for i in range(30)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r["page_id"]]: r for r in url_filter.judge_urls(rows).collect()}
+    of = lambda start: [(r["verdict"], round(r["purity"], 3)) for u, r in got.items() if u.startswith(start)]
+    assert set(of("http://spam.example.com/it/")) == {("block", round(42 / 44, 3))} and all(r["rule"] is None for u, r in got.items() if "/it/" in u)
+    assert set(of("http://spam.example.com/about/")) == {("allow", 0.5)}
+    assert set(of("http://few.example.com/it/")) == {("allow", round(5 / 7, 3))}
+    assert set(of("http://mixed.org/no/")) == {("allow", round(2 / 34, 3))}
+    rules = (("block", "h.net", "/a/"), ("allow", "h.net", "/b/"))
+    pages = [f"http://h.net/{x}/{i}" for x in "abc" for i in range(40)]
+    got = {pages[r["page_id"]]: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), rules).collect()}
+    purity = {x: {round(r["purity"], 3) for u, r in got.items() if f"/{x}/" in u} for x in "abc"}
+    assert purity == {"a": {round(42 / 44, 3)}, "b": {round(2 / 44, 3)}, "c": {0.5}}
