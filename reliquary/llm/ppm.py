@@ -86,7 +86,7 @@ class Block:
         self.word_piece = np.searchsorted(start, first, side="right") - 1
 
 
-def blocks(texts, order: int, most: int = 1 << 20):
+def blocks(texts, order: int, most: int = 1 << 18):
     """(document numbers, Block) over texts; long ones are cut at blanks, so memory stays bounded."""
     docs, pieces, held = [], [], 0
     for i, data in enumerate(texts):
@@ -123,28 +123,50 @@ def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[heads], np.diff(np.append(heads, len(x)))
 
 
+class _Tally:
+    """Different keys and their counts. Parts are merged when together they outweigh what is merged already."""
+
+    def __init__(self):
+        self.parts, self.loose = [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        k, n = _counted(keys)
+        self.parts.append((k, n))
+        self.loose += len(k)
+        if self.loose > max(1_000_000, len(self.parts[0][0])):
+            self.settle()
+
+    def settle(self) -> None:
+        self.parts, self.loose = [_merged(*map(list, zip(*self.parts, strict=True)))], 0
+
+    def __len__(self) -> int:
+        return len(self.parts[0][0]) if self.parts and not self.loose else 0
+
+    def pop(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return (np.empty(0, np.int64),) * 2
+        self.settle()
+        out, self.parts = self.parts[0], []
+        return out
+
+
 def _gather(order: int):
     """Counts of grams (kind 0) and of words (kind 1), added up within the task."""
 
-    def gather(batches):
-        held: dict[int, list] = {0: [], 1: []}
-
-        def settle(kind):
-            held[kind] = [_merged(*map(list, zip(*held[kind], strict=True)))] if held[kind] else []
+    def rows(kind, tally):
+        k, n = tally.pop()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
 
+    def gather(batches):
+        tallies = _Tally(), _Tally()
         for b in batches:
             for _, x in blocks((t.as_py() for t in b["data"]), order):
-                for kind, values in ((0, x.grams), (1, x.words)):
-                    held[kind].append(_counted(values))
-                    if len(held[kind]) > 8:
-                        settle(kind)
-                        if len(held[kind][0][0]) > 3_000_000:
-                            k, n = held[kind].pop()
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
-        for kind in held:
-            settle(kind)
-            for k, n in held[kind]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
+                for kind, values in enumerate((x.grams, x.words)):
+                    tallies[kind].add(values)
+                    if len(tallies[kind]) > 3_000_000:
+                        yield rows(kind, tallies[kind])
+        for kind, tally in enumerate(tallies):
+            yield rows(kind, tally)
 
     return gather
 
@@ -265,19 +287,25 @@ def _block_of(keys: np.ndarray, crowded: dict[int, np.ndarray], blocks: int) ->
     return (place % U(blocks)).astype(np.int64)
 
 
-_ROWS = "block int, role int, chunk long, keys array<long>, n array<long>"
+#: Keys and numbers travel as bytes, many to a row.
+_ROWS = "block int, role int, chunk long, keys binary, n binary"
+
 
+def _packed(values: list[np.ndarray]) -> pa.Array:
+    return pa.array([v.tobytes() for v in values], pa.binary())
 
-def _lists(values: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
-    at = np.cumsum([0, *map(len, values)])
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(values) if values else np.empty(0), kind))
+
+def _numbers(packed: pa.Scalar, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(packed.as_buffer(), kind)
 
 
 def _split(block: np.ndarray, *columns: np.ndarray):
     """(block, part of each column) for the rows of each block, of at most ROW values."""
+    if not len(block):
+        return
     order = np.argsort(block, kind="stable")
     block, columns = block[order], [c[order] for c in columns]
-    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
     for a, z in zip(starts, [*starts[1:], len(block)], strict=True):
         for i in range(a, z, ROW):
             yield int(block[a]), *(c[i : min(z, i + ROW)] for c in columns)
@@ -286,7 +314,7 @@ def _split(block: np.ndarray, *columns: np.ndarray):
 def _dealt(rows: list[tuple], role: int, chunk: int | None) -> pa.RecordBatch:
     n = len(rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([role] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), _lists([r[1] for r in rows]), _lists([r[2] if len(r) > 2 else r[1][:0] for r in rows])],
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([role] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), _packed([r[1] for r in rows]), _packed([r[2] if len(r) > 2 else r[1][:0] for r in rows])],
         ["block", "role", "chunk", "keys", "n"],
     )
 
@@ -319,27 +347,26 @@ def _ask(order: int, layout: _Layout):
     """Rows of questions (role 1), by block: the different grams and words of each chunk, whose texts come one after the other."""
 
     def ask(batches):
-        chunk, held = None, {0: [], 1: []}
+        chunk, tallies = None, (_Tally(), _Tally())
 
         def asked():
-            for kind, parts in held.items():
-                if parts:
-                    keys = _merged(*map(list, zip(*parts, strict=True)))[0]
-                    yield _dealt(list(_split(layout.of(kind, keys), keys)), 1, chunk)
-                held[kind] = []
+            for kind, tally in enumerate(tallies):
+                keys = tally.pop()[0]
+                for row in _split(layout.of(kind, keys), keys):
+                    yield _dealt([row], 1, chunk)
 
         for b in batches:
+            if not b.num_rows:
+                continue
             chunks = b["chunk"].to_numpy()
-            starts = np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])) if len(chunks) else []
+            starts = np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1]))
             for a, z in zip(starts, [*starts[1:], len(chunks)], strict=True):
                 if chunks[a] != chunk:
                     yield from asked()
                     chunk = int(chunks[a])
                 for _, x in blocks((t.as_py() for t in b["data"].slice(a, z - a)), order):
-                    for kind, values in ((0, x.grams), (1, x.words)):
-                        held[kind].append(_counted(values))
-                        if len(held[kind]) > 8:
-                            held[kind] = [_merged(*map(list, zip(*held[kind], strict=True)))]
+                    tallies[0].add(x.grams)
+                    tallies[1].add(x.words)
         yield from asked()
 
     return ask
@@ -355,20 +382,20 @@ def _answer(order: int, layout: _Layout, levels: dict):
                 number, role = b["block"][i].as_py(), b["role"][i].as_py()
                 if number != block:
                     block, held, table = number, [], None
-                keys = b["keys"][i].values.to_numpy()
+                keys = _numbers(b["keys"][i])
                 if role == 0:
-                    held.append((keys, b["n"][i].values.to_numpy()))
+                    held.append((keys, _numbers(b["n"][i])))
                     continue
                 if table is None:
                     k, n = _merged(*map(list, zip(*held, strict=True))) if held else (np.empty(0, np.int64),) * 2
                     table, held = (Trie(order, k, n, levels) if block < layout.grams else (Table(k), n)), []
                 if block < layout.grams:
-                    logs, n = _lists([table.score(keys).astype(np.float32)], pa.float32()), pa.nulls(1, pa.list_(pa.int64()))
+                    logs, n = _packed([table.score(keys).astype(np.float32)]), pa.nulls(1, pa.binary())
                 else:
                     at = table[0].find(keys)
                     keys, found = keys[at >= 0], table[1][at[at >= 0]]
-                    logs, n = pa.nulls(1, pa.list_(pa.float32())), _lists([found])
-                yield pa.RecordBatch.from_arrays([b["chunk"].slice(i, 1), _lists([keys]), logs, n], ["chunk", "keys", "logs", "n"])
+                    logs, n = pa.nulls(1, pa.binary()), _packed([found])
+                yield pa.RecordBatch.from_arrays([b["chunk"].slice(i, 1), _packed([keys]), logs, n], ["chunk", "keys", "logs", "n"])
 
     return answer
 
@@ -378,10 +405,12 @@ def _score(order: int):
 
     def score(batches):
         chunk, held, tables = None, {0: [], 1: []}, None
-        names = ("logs", "n")
+        columns = ("logs", np.float32), ("n", np.int64)
         for b in batches:
+            if not b.num_rows:
+                continue
             chunks, roles = b["chunk"].to_numpy(), b["role"].to_numpy()
-            starts = np.flatnonzero(np.append(True, (chunks[1:] != chunks[:-1]) | (roles[1:] != roles[:-1]))) if len(chunks) else []
+            starts = np.flatnonzero(np.append(True, (chunks[1:] != chunks[:-1]) | (roles[1:] != roles[:-1])))
             for a, z in zip(starts, [*starts[1:], len(chunks)], strict=True):
                 if chunks[a] != chunk:
                     chunk, held, tables = chunks[a], {0: [], 1: []}, None
@@ -389,7 +418,8 @@ def _score(order: int):
                 if roles[a] == 0:
                     for i in range(part.num_rows):
                         kind = 0 if part["logs"][i].is_valid else 1
-                        held[kind].append((part["keys"][i].values.to_numpy(), part[names[kind]][i].values.to_numpy()))
+                        name, of = columns[kind]
+                        held[kind].append((_numbers(part["keys"][i]), _numbers(part[name][i], of)))
                     continue
                 if tables is None:
                     joined = [[np.concatenate(c) for c in zip(*held[kind], strict=True)] if held[kind] else [np.empty(0, np.int64), np.empty(0)] for kind in (0, 1)]
@@ -460,7 +490,7 @@ def score_documents(docs: DataFrame, order: int = 5, folds: int = 7, fold: int =
     texts = rows.select(chunk, "doc_id", "held_out", "data")
     questions = texts.select("chunk", "data").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_ask(order, layout), _ROWS)
     asked = counts.mapInArrow(_store(layout), _ROWS).unionByName(questions).repartition("block").sortWithinPartitions("block", "role")
-    answers = materialise(asked.mapInArrow(_answer(order, layout, levels), "chunk long, keys array<long>, logs array<float>, n array<long>"), "answers", rows=20_000)
+    answers = asked.mapInArrow(_answer(order, layout, levels), "chunk long, keys binary, logs binary, n binary")
 
     met = answers.withColumn("role", F.lit(0)).unionByName(texts.withColumn("role", F.lit(1)), allowMissingColumns=True)
     met = met.repartition("chunk").sortWithinPartitions("chunk", "role").mapInArrow(_score(order), "doc_id long, held_out boolean, score double, n_words long, n_known long, base double")

@@ -33,8 +33,8 @@ def shared_root(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows or 32 MB, while the jobs inside run: whole texts are large rows."""
-    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": "32m"}):
+    """Arrow batches of so many rows or 16 MB, while the jobs inside run: whole texts are large rows."""
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}):
         yield
 
 
