@@ -297,9 +297,23 @@ def test_digest_index_merges_runs(spark):
         index.flush(spark.createDataFrame([(at + i, f"t{i}") for i in range(5)], "doc_id long, text string"))
     rows = index.compact().collect()
     assert sorted((r["keep_id"], r["group_size"]) for r in rows) == [(i, 2) for i in range(5)]
+    assert index.n_runs == 2 * exact_dedup.RUNS and {r["run"] for r in index.filters().collect()} <= set(range(index.n_runs))
     assert index.lookup([hashlib.sha256(b"t3").digest()]).first()["keep_id"] == 3
 
 
+def test_digest_filters_miss_nothing(spark, monkeypatch):
+    """A digest that several runs have is never taken for settled, and few others are merged; also where filters are joined by shuffle."""
+    rows = spark.createDataFrame([(i, f"text {i if i % 5 else i // 2}") for i in range(2000)], "doc_id long, text string")
+    for most in (exact_dedup.FILTER_BYTES, 0):
+        monkeypatch.setattr(exact_dedup, "FILTER_BYTES", most)
+        index = exact_dedup.DigestIndex("min")
+        index.flush(rows)
+        probed = index._may_be_elsewhere().collect()
+        runs = Counter(bytes(r["digest"]) for r in probed)
+        assert all(r["elsewhere"] for r in probed if runs[bytes(r["digest"])] > 1) and max(runs.values()) > 1
+        assert sum(r["elsewhere"] for r in probed if runs[bytes(r["digest"])] == 1) < 0.3 * len(probed)
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix_sources(docs).collect()
     sizes = defaultdict(int)
