@@ -291,6 +291,16 @@ def _block_of(keys: np.ndarray, crowded: dict[int, np.ndarray], blocks: int) ->
 _ROWS = "block int, role int, chunk long, keys binary, n binary"
 
 
+def _packed_keys(values: list[np.ndarray]) -> pa.Array:
+    """Sorted keys as differences, first bytes first: what compresses well in a shuffle."""
+    return pa.array([np.diff(v, prepend=v[:0].dtype.type(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for v in values], pa.binary())
+
+
+def _keys(packed: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(packed.as_buffer(), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
 def _packed(values: list[np.ndarray]) -> pa.Array:
     return pa.array([v.tobytes() for v in values], pa.binary())
 
@@ -314,7 +324,7 @@ def _split(block: np.ndarray, *columns: np.ndarray):
 def _dealt(rows: list[tuple], role: int, chunk: int | None) -> pa.RecordBatch:
     n = len(rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([role] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), _packed([r[1] for r in rows]), _packed([r[2] if len(r) > 2 else r[1][:0] for r in rows])],
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([role] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), _packed_keys([r[1] for r in rows]), _packed([r[2] if len(r) > 2 else r[1][:0] for r in rows])],
         ["block", "role", "chunk", "keys", "n"],
     )
 
@@ -382,7 +392,7 @@ def _answer(order: int, layout: _Layout, levels: dict):
                 number, role = b["block"][i].as_py(), b["role"][i].as_py()
                 if number != block:
                     block, held, table = number, [], None
-                keys = _numbers(b["keys"][i])
+                keys = _keys(b["keys"][i])
                 if role == 0:
                     held.append((keys, _numbers(b["n"][i])))
                     continue
@@ -395,7 +405,7 @@ def _answer(order: int, layout: _Layout, levels: dict):
                     at = table[0].find(keys)
                     keys, found = keys[at >= 0], table[1][at[at >= 0]]
                     logs, n = pa.nulls(1, pa.binary()), _packed([found])
-                yield pa.RecordBatch.from_arrays([b["chunk"].slice(i, 1), _packed([keys]), logs, n], ["chunk", "keys", "logs", "n"])
+                yield pa.RecordBatch.from_arrays([b["chunk"].slice(i, 1), _packed_keys([keys]), logs, n], ["chunk", "keys", "logs", "n"])
 
     return answer
 
@@ -419,7 +429,7 @@ def _score(order: int):
                     for i in range(part.num_rows):
                         kind = 0 if part["logs"][i].is_valid else 1
                         name, of = columns[kind]
-                        held[kind].append((_numbers(part["keys"][i]), _numbers(part[name][i], of)))
+                        held[kind].append((_keys(part["keys"][i]), _numbers(part[name][i], of)))
                     continue
                 if tables is None:
                     joined = [[np.concatenate(c) for c in zip(*held[kind], strict=True)] if held[kind] else [np.empty(0, np.int64), np.empty(0)] for kind in (0, 1)]
@@ -546,7 +556,9 @@ class AdaptiveTrie:
 
 
 def adaptive_scores(docs: DataFrame, order: int = 4) -> DataFrame:
-    """doc_id, score: each text's adaptive code length, from an empty trie of its own."""
+    """doc_id, score: each text's adaptive code length, from an empty trie of its own. A null text is
+    empty and has its end only; repeated rows score alike, null ids stay null, an empty table gives
+    an empty result and further columns are ignored."""
 
     def score(batches):
         for b in batches:
