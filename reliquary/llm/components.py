@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,13 +20,17 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         name = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).select("a", "to"), "names")
+        old = labels
         if labels is None:
-            labels = name.select(F.col("a").alias("node"), F.col("to").alias("label"))
+            labels = materialise(name.select(F.col("a").alias("node"), F.col("to").alias("label")), "labels")
         else:
             moved = name.select(F.col("a").alias("label"), "to")
             labels = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
             labels = materialise(labels, "labels")
         renamed = edges.join(name, "a").select("b", F.col("to").alias("x")).join(name.withColumnRenamed("a", "b"), "b").select(F.col("x").alias("a"), F.col("to").alias("b"))
-        edges = materialise(renamed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        new = materialise(renamed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        discard(edges, name, *([old] if old is not None else []))
+        edges = new
         if not edges.limit(1).count():
+            discard(edges)
             return labels

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import fresh, materialise, skew_lookup
+from .shared import discard, fresh, materialise, skew_lookup
 
 U = np.uint64
 #: Second-level partitions of each first-level one; a signature leaves one of them out.
@@ -392,9 +392,10 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _prepared(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+def _prepared(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, int, DataFrame, list[DataFrame]]:
     """made (doc_id, th, n, node, check), classes (node, first, copies), how many documents have
-    shingles, and the rows of the meetings (pivot, i, j, side, node, n, copies, pivots, set)."""
+    shingles, the rows of the meetings (pivot, i, j, side, node, n, copies, pivots, set), and the
+    scratch tables that these are made of."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.encode(text, "utf-8").alias("data"))
     for seed in range(8):
@@ -404,8 +405,9 @@ def _prepared(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFram
         )
         classes = materialise(classes, "classes")
         total, clash = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.when(F.col("c1") != F.col("c2"), 1))).first()
-        if not clash:  # else two sets share a 64-bit hash: take another
+        if not clash:
             break
+        discard(made, classes)  # two sets share a 64-bit hash: take another
     # A bucket has at most one row per node and task, of the hundreds that each node gives out: even
     # if it held all nodes, it would be a small part of the rows.
     signed = rows.select("data").mapInArrow(_signatures(width, num, den, seed), "sig long, node long")
@@ -425,7 +427,8 @@ def _prepared(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFram
     chosen = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(_small(known.select("node", "doc_id", "th")), ["doc_id", "th"]).select("node", "data")
     sets = materialise(chosen.mapInArrow(write_sets, "node long, n long, set array<long>"), "node-sets")
     if sets.count() > known.count():  # rows that repeat an id with its text
-        sets = materialise(sets.dropDuplicates(["node"]), "sets")
+        many, sets = sets, materialise(sets.dropDuplicates(["node"]), "sets")
+        discard(many)
 
     sized = members.join(sets.select("node", "n"), "node")
     most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(ELEMENTS) / F.max("n"))))
@@ -434,7 +437,7 @@ def _prepared(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFram
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sides = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side")]
     meetings = placed.select("node", "pivot", *sides).join(known.select("node", "copies", "pivots"), "node").join(sets, "node")
-    return made, classes, total, meetings.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    return made, classes, total, meetings.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j"), [members, known, sets]
 
 
 def _members(made: DataFrame, classes: DataFrame, total: int, found: DataFrame) -> DataFrame:
@@ -463,9 +466,12 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     with nothing. Rows that repeat an id count by their texts; null ids never name a set or a
     component unless it has no other. An empty table gives an empty result.
     """
-    made, classes, total, meetings = _prepared(docs, width, num, den)
+    made, classes, total, meetings, scratch = _prepared(docs, width, num, den)
     found = materialise(meetings.mapInArrow(_verified(num, den), "node long, beside long, root long"), "found")
-    return _members(made, classes, total, found)
+    discard(*scratch)
+    out = _members(made, classes, total, found)
+    discard(classes, found)
+    return out
 
 
 def similar_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -475,7 +481,7 @@ def similar_links(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     documents have it: their hashes, set_a < set_b, and the smallest doc_id of either. It grows with
     the number of links, so with the square of a group of near copies, and is computed only if used.
     """
-    made, classes, total, meetings = _prepared(docs, width, num, den)
+    made, classes, total, meetings, _ = _prepared(docs, width, num, den)
     found = materialise(meetings.mapInArrow(_verified(num, den), "node long, beside long, root long"), "found")
     pairs = meetings.mapInArrow(_listed(num, den), "a long, b long")
     first = classes.select("node", "first")

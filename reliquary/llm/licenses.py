@@ -252,8 +252,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
 
     A license is found when some stretch of at most twice a template's length covers `least` of
     its words in order, not counting words of larger matches. Templates are named license or
-    license#template; n_licenses counts licenses. A null, empty or blank text has none. Rows are
-    judged each by their text.
+    license#template; n_licenses counts licenses. A null, empty or blank text has none. Of equally
+    covered ones the longer match is the best, then the first by name. Rows are judged each by
+    their text, so repeated ones get equal results and null ids stay null; an empty table gives an
+    empty result, and further columns are ignored.
     """
     hit = "coverage double, matched int, first_word int, last_word int"
     schema = f"doc_id long, n_licenses int, license string, {hit}, found array<struct<license:string,template:string,{hit.replace(', ', ',').replace(' ', ':')}>>"

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, materialise
+from .shared import LOWER, UPPER, discard, fresh, materialise
 
 BLANK = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
@@ -31,10 +31,10 @@ def line_keys(data: bytes) -> list[bytes]:
     return [x.strip(BLANK) for x in data.lower().split(b"\n")]
 
 
-def with_identity(docs: DataFrame) -> DataFrame:
-    """_doc: the id, a stand-in if null; _th: hash of the text. Both tell documents apart. _data: the text as bytes."""
+def with_identity(docs: DataFrame, doc: str, th: str, data: str) -> DataFrame:
+    """Under these names the id, a stand-in if null, the hash of the text, which tell documents apart, and the text as bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(text), "_data": F.encode(text, "utf-8")})
+    return docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), th: F.xxhash64(text), data: F.encode(text, "utf-8")})
 
 
 def _hash_lines(batches):
@@ -161,12 +161,16 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     Lines beyond the bitmap's end stay. A line is dropped when its key, of at least one code
     point, occurs in `min_docs` documents or more; with keep_first its first occurrence, by doc_id
     and position, stays. A null or empty text has one empty line, which is never dropped. Rows
-    that repeat a doc_id with the same text are one document; null ids count as one id.
+    that repeat a doc_id with the same text are one document; null ids count as one id. An empty
+    table gives an empty result.
     """
-    lines = materialise(with_identity(docs).select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_data").alias("data")).mapInArrow(_hash_lines, "h1 long, h2 long, doc long, th long, pos int"), "line-hashes")
-    order = ["h1", "h2", "doc", "th"]
-    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
+    rows = with_identity(docs.select("doc_id", "text"), "doc", "th", "data").select("doc", "th", "data")
+    lines = materialise(rows.mapInArrow(_hash_lines, "h1 long, h2 long, doc long, th long, pos int"), "line-hashes")
+    # The position is in the range key too, so one document that repeats a line is spread as well.
+    order = ["h1", "h2", "doc", "th", "pos"]
+    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     runs = materialise(ranged.mapInArrow(_stream(min_docs, keep_first), "kind int, part int, h1 long, h2 long, doc long, th long, pos int, n long"), "line-runs", rows=50_000)
+    discard(lines)
     # At most two such runs per partition.
     sums = runs.where("kind = 3").groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.min("part").alias("lead"))
     sums = F.broadcast(sums.where(F.col("docs") >= min_docs))
@@ -186,15 +190,17 @@ def lines_kept(data: bytes, keep: bytes | None) -> tuple[int, list[bytes]]:
     return len(lines), [x for i, x in enumerate(lines) if i >= len(bits) or bits[i]]
 
 
-def _joined(docs: DataFrame, how: dict) -> DataFrame:
+def _joined(docs: DataFrame, how: dict) -> tuple[DataFrame, str, str]:
+    """docs with the text as bytes and the bitmap, and these columns' names."""
+    doc, th, data, keep = (fresh(docs, c) for c in ("doc_key", "text_hash", "text_bytes", "keep_bits"))
     maps = keep_bitmaps(docs.select("doc_id", "text"), **how)
-    return with_identity(docs).join(maps.toDF("_doc", "_th", "_keep"), ["_doc", "_th"], "left")
+    return with_identity(docs, doc, th, data).join(maps.toDF(doc, th, keep), [doc, th], "left"), data, keep
 
 
 def _digest(batches):
     for b in batches:
         n_lines, n_dropped, sha = [], [], []
-        for data, keep in zip(b["_data"], b["_keep"], strict=True):
+        for data, keep in zip(b["data"], b["keep"], strict=True):
             n, kept = lines_kept(data.as_py(), keep.as_py())
             n_lines.append(n)
             n_dropped.append(n - len(kept))
@@ -203,26 +209,29 @@ def _digest(batches):
 
 
 def line_digests(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
-    rows = _joined(docs.select("doc_id", "text"), how).select("doc_id", "_data", "_keep")
+    """doc_id, n_lines, n_dropped, kept_sha256 of every document, as keep_bitmaps has it."""
+    rows, data, keep = _joined(docs.select("doc_id", "text"), how)
+    rows = rows.select("doc_id", F.col(data).alias("data"), F.col(keep).alias("keep"))
     return materialise(rows.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string"), "line-digests")
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
-    """The documents with their kept lines as text; a null text stays null. n_chars, if there, is set anew."""
+    """The documents with their kept lines as text; a null text stays null. n_chars, if there, is set
+    anew. Rows that repeat an id with the same text keep the same lines; an empty table stays empty,
+    and no name of a column of docs is taken."""
     schema = docs.withColumn("text", F.col("text").cast("string")).schema
 
     def apply(batches):
         for b in batches:
-            texts = [b"\n".join(lines_kept(d.as_py(), k.as_py())[1]) for d, k in zip(b["_data"], b["_keep"], strict=True)]
+            texts = [b"\n".join(lines_kept(d.as_py(), k.as_py())[1]) for d, k in zip(b[data], b[keep], strict=True)]
             texts = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else b[c] for c in schema.names], schema.names)
 
-    rows = _joined(docs, how)
-    changed = rows.where("_keep is not null").select(*[c for c in docs.columns if c != "text"], "_data", "_keep").mapInArrow(apply, schema)
+    rows, data, keep = _joined(docs, how)
+    changed = rows.where(F.col(keep).isNotNull()).select(*[c for c in docs.columns if c != "text"], data, keep).mapInArrow(apply, schema)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return rows.where("_keep is null").select(*docs.columns).unionByName(changed)
+    return rows.where(F.col(keep).isNull()).select(*docs.columns).unionByName(changed)
 
 
 ORACLE = f"""

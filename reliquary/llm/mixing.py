@@ -50,6 +50,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     Size is the number of words (null: 0). The offset of a source is a hash of its name, so reruns
     agree. Documents without words get their share of copies too, but take nothing. A null source
     is a source; ties in size go by doc_id (nulls first), then text hash; equal rows are interchangeable.
+    An empty table gives an empty result, and further columns are left out unless they are carried.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     extra = [F.col(c).alias(f"_carry_{c}") for c in carry]
@@ -70,7 +71,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document's row, with all its columns, as often as it is taken."""
+    """The mix itself: each document's row, with all its columns, as often as it is taken. Null and
+    empty texts are taken as often as their source's others; ties, repeated rows and an empty table
+    are as in mix_sources, and no name of a column of docs is taken."""
     out = mix_sources(docs, carry=tuple(docs.columns), **how).where("copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*[F.col(f"_carry_{c}").alias(c) for c in docs.columns])

@@ -25,6 +25,8 @@ from .shared import materialise
 
 #: Pieces that one partition packs, about; they are lengths and row numbers only.
 PIECES = 50_000
+#: Characters of a word that is kept in the cache, so that it is bounded in bytes as well.
+LONG = 80
 _ID = np.dtype("<u4")
 assert sys.byteorder == "little" and array("I").itemsize == 4  # ids are kept as this machine's unsigned 32-bit numbers
 #: Texts of these characters alone are split here as the tokenizer's own pattern would: in them letters
@@ -47,7 +49,7 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.cache = Tokenizer.from_file(path), words, {}
+        self.tokenizer, self.words, self.cache = Tokenizer.from_file(path), words, {}  # words of up to LONG characters
 
     def _pieces(self, text: str) -> list[str]:
         if not _ODD.search(text):
@@ -62,15 +64,16 @@ class WordIds:
         split = [self._pieces(t) for t in texts]
         if len(self.cache) > self.words:
             self.cache.clear()
-        model, odd = self.tokenizer.model, []
+        model, odd, long = self.tokenizer.model, [], {}
         for w in {w for p in split for w in p if w not in self.cache}:
             if _ODD.search(w):
                 odd.append(w)
             else:  # one word by the tokenizer's own pattern: straight to its model
-                self.cache[w] = array("I", [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
+                (self.cache if len(w) <= LONG else long)[w] = array("I", [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.cache[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(self.cache.__getitem__, p)) for p in split]
+            (self.cache if len(w) <= LONG else long)[w] = array("I", e.ids).tobytes()
+        known = self.cache.__getitem__ if not long else lambda w: long[w] if w in long else self.cache[w]
+        return [b"".join(map(known, p)) for p in split]
 
 
 _words: dict[str, WordIds] = {}

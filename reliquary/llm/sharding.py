@@ -49,7 +49,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, ranges: int = 4096, sample
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
-            F.xxhash64(F.lit(seed), F.col("doc_id")).alias("tie"),
+            F.xxhash64(F.lit(seed), F.col("doc_id"), F.monotonically_increasing_id()).alias("tie"),
         ),
         "shard-rows",
     )

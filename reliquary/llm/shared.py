@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import contextlib
-import gc
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +16,10 @@ LOWER = UPPER.lower()
 #: What the contracts call a word: a run of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_made: list[tuple[SparkSession, str]] = []
+#: A query's shuffle files go when it has run.
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Of each thread, the scratch tables that are there: runs in different threads don't see each other's.
+_scratch = threading.local()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -23,7 +27,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     root = root or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="reliquary-")
         spark.sparkContext.setCheckpointDir(root)
@@ -56,33 +60,35 @@ def materialise(df: DataFrame, tag: str, rows: int = 2000, **options: str) -> Da
     files go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/reliquary-{uuid.uuid4().hex}-{tag}"
-    with batches_of(spark, rows), settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    with batches_of(spark, rows), settings(spark, DROP_SHUFFLES):
         df.write.options(**options).parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    made().append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def made_since(count: int) -> list[str]:
-    return [path for _, path in _made[count:]]
-
-
-def made_count() -> int:
-    return len(_made)
+def made() -> list[str]:
+    """Paths of this thread's scratch tables, oldest first."""
+    if not hasattr(_scratch, "paths"):
+        _scratch.paths = []
+    return _scratch.paths
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete these scratch tables, or all; only when no DataFrame over them is needed any more."""
+    """Delete these scratch tables, or all of this thread; only when no DataFrame over them is needed any more."""
     conf = spark._jsc.hadoopConfiguration()
-    for _, path in [x for x in _made if x[0] is spark and (paths is None or x[1] in paths)]:
+    for path in list(made() if paths is None else paths):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+        if path in made():
+            made().remove(path)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more, now
-    and not when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that a later one has taken the place of."""
+    for df in tables:
+        release(df.sparkSession, [df.scratch_path])
 
 
 def fresh(df: DataFrame, name: str) -> str:
