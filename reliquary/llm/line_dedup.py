@@ -1,11 +1,12 @@
 """Line dedup by range-partitioned hashes, streamed in order.
 
 Line hashes are range-partitioned and sorted by (hash, document, position), so one line's rows are
-a run, and a line that holds a third of all rows is spread over several partitions. Each partition
-is streamed once, holding back at most the rows of the first min_docs - 1 documents of the current
-run. A run that touches a partition's edge may go on next door: its rows wait for the sum of such
-runs' document counts (at most two per partition). What comes out are dropped positions, gathered
-into one compressed keep bitmap per document, never text.
+a run, and a line that holds a third of all rows, be it in one document, is spread over several
+partitions. Each partition is streamed once, holding back at most the rows of the first min_docs - 1
+documents of the current run. A run that touches a partition's edge may go on next door: its rows
+wait for the sum of such runs' document counts (at most two per partition), less the documents that
+an edge cuts. What comes out are dropped positions, gathered into one compressed keep bitmap per
+document, never text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import LOWER, UPPER, discard, fresh, materialise
@@ -58,7 +59,7 @@ class _Run:
     """The run that is open while a partition streams by."""
 
     def __init__(self, key, edge: bool):
-        self.key, self.edge, self.docs, self.held, self.last, self.begun = key, edge, 0, [], None, False
+        self.key, self.edge, self.docs, self.held, self.first, self.last, self.begun = key, edge, 0, [], None, None, False
 
     def take(self, doc, th, pos, least: int, first: bool):
         """Add rows; yield (rows, kind) that are certain by now. kind 0: drop, 1: wait, 2: wait, lead row."""
@@ -66,7 +67,7 @@ class _Run:
         new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])
         new[0] = self.last != (doc[0], th[0])
         self.docs += int(new.sum())
-        self.last = (doc[-1], th[-1])
+        self.first, self.last = self.first or (doc[0], th[0]), (doc[-1], th[-1])
         rows = (doc, th, pos)
         if self.edge:  # began at the partition's start, perhaps before it
             if not self.begun:
@@ -101,7 +102,11 @@ def _stream(least: int, first: bool):
             const = lambda v, t: pa.array(np.full(size, v, t))
             return pa.RecordBatch.from_arrays([const(kind, np.int32), const(part, np.int32), const(key[0], np.int64), const(key[1], np.int64), pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), const(n, np.int64)], names)
 
-        empty = (np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int32))
+        def ends(run):
+            """Kinds 3 and 4: how many documents the run has here, its first one and its last."""
+            for kind, (doc, th), n in ((3, run.first, run.docs), (4, run.last, 0)):
+                yield out((np.array([doc], np.int64), np.array([th], np.int64), np.zeros(1, np.int32)), kind, run.key, n)
+
         for b in batches:
             h1, h2, doc, th, pos = (b[c].to_numpy() for c in ("h1", "h2", "doc", "th", "pos"))
             if not len(h1):
@@ -119,7 +124,7 @@ def _stream(least: int, first: bool):
             if i > last:
                 continue
             if run.edge:
-                yield out(empty, 3, run.key, run.docs)
+                yield from ends(run)
             if last > i:  # whole runs inside the batch
                 a, z = starts[i], starts[last]
                 new = np.ones(z - a, np.int64)
@@ -139,7 +144,7 @@ def _stream(least: int, first: bool):
         if run is not None:
             for rows, kind in run.close(True):
                 yield out(rows, kind, run.key)
-            yield out(empty, 3, run.key, run.docs)
+            yield from ends(run)
 
     return stream
 
@@ -171,8 +176,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     runs = materialise(ranged.mapInArrow(_stream(min_docs, keep_first), "kind int, part int, h1 long, h2 long, doc long, th long, pos int, n long"), "line-runs", rows=50_000)
     discard(lines)
-    # At most two such runs per partition.
-    sums = runs.where("kind = 3").groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.min("part").alias("lead"))
+    # At most two such runs per partition. A document that goes on from one to the next counts once.
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("doc", "th")))
+    ends = runs.where("kind in (3, 4)").groupBy("h1", "h2", "part").agg(F.sum("n").alias("n"), at(3).alias("from"), at(4).alias("to"))
+    cut = F.coalesce(F.lag("to").over(Window.partitionBy("h1", "h2").orderBy("part")) == F.col("from"), F.lit(False))
+    sums = ends.withColumn("n", F.col("n") - cut.cast("int")).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.min("part").alias("lead"))
     sums = F.broadcast(sums.where(F.col("docs") >= min_docs))
     waiting = runs.where("kind in (1, 2)").join(sums, ["h1", "h2"])
     if keep_first:
