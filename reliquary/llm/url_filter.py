@@ -66,29 +66,31 @@ def _shape(segment: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_replace(segment, "[0-9]+", "9"), "[A-Za-z]+", "a"), F.lit("."))
 
 
-def _branches(rows: DataFrame, leaves: DataFrame, level: int, z: float, least: int) -> DataFrame:
-    """(host, node, up, kind, merges, rises) of the tree's nodes at a level. up: the node above;
-    kind: the commonest shape below it, the first of equals; merges: with its kind; rises: the kind to the node above."""
+def _branches(rows: DataFrame, leaves: DataFrame, z: float, least: int) -> DataFrame:
+    """(host, level, node, up, kind, merges, rises) of the trees' nodes. up: the node above; kind: the
+    commonest shape below it, the first of equals; merges: with its kind; rises: the kind to the node above."""
     prefix = lambda n: F.array_join(F.slice("parts", 1, n), "/")
-    here = F.col("parts_n") >= level
-    shapes = rows.where(here).groupBy("host", prefix(level).alias("node"), prefix(level - 1).alias("up"), _shape(F.get("segments", F.lit(level))).alias("shape")).agg(F.count("*").alias("n"))
-    shapes = materialise(shapes, f"shapes{level}")
-    own = shapes.groupBy("host", "node", "up").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("n"), "shape"))["shape"].alias("kind"))
-    labels = leaves.where(here).groupBy("host", prefix(level).alias("node")).agg(F.sum("labels").alias("k"), F.sum("blocked").alias("b"))
-    own = materialise(own.join(labels, ["host", "node"]), f"nodes-of-level{level}")
-    kinds = own.groupBy("host", "up", "kind").agg(F.sum("size").alias("all"), F.sum("k").alias("all_k"), F.sum("b").alias("all_b"))
-    kinds = kinds.join(own.groupBy("host", "up").agg(F.sum("size").alias("whole")), ["host", "up"])
-    shapes = shapes.join(own.select("host", "node", "kind", "size"), ["host", "node"])
-    pooled = shapes.groupBy("host", "up", "kind", "shape").agg(F.sum("n").alias("pooled"))
-    free = pooled.groupBy("host", "up", "kind").agg((F.count("*") - 1).alias("free"))
+    levels = F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("level")
+    at, above = F.col("level"), F.col("level") - 1
+    shapes = rows.select("host", "parts", "segments", levels).groupBy("host", "level", prefix(at).alias("node"), prefix(above).alias("up"), _shape(F.get("segments", at)).alias("shape"))
+    shapes = materialise(shapes.agg(F.count("*").alias("n")), "shapes")
+    own = shapes.groupBy("host", "level", "node", "up").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("n"), "shape"))["shape"].alias("kind"))
+    labels = leaves.select("host", "parts", "labels", "blocked", levels).groupBy("host", "level", prefix(at).alias("node")).agg(F.sum("labels").alias("k"), F.sum("blocked").alias("b"))
+    own = materialise(own.join(labels, ["host", "level", "node"]), "nodes")
+    among = ["host", "level", "up", "kind"]
+    kinds = own.groupBy(*among).agg(F.sum("size").alias("all"), F.sum("k").alias("all_k"), F.sum("b").alias("all_b"))
+    kinds = kinds.join(own.groupBy("host", "level", "up").agg(F.sum("size").alias("whole")), ["host", "level", "up"])
+    shapes = shapes.join(own.select("host", "level", "node", "kind", "size"), ["host", "level", "node"])
+    pooled = shapes.groupBy(*among, "shape").agg(F.sum("n").alias("pooled"))
+    kinds = materialise(kinds.join(pooled.groupBy(*among).agg((F.count("*") - 1).alias("free")), among), "kinds")
     # Chi square against what all of the kind have: the sum of o * o / e, less the pages.
-    fit = shapes.join(pooled, ["host", "up", "kind", "shape"]).join(kinds.select("host", "up", "kind", "all"), ["host", "up", "kind"])
-    fit = fit.groupBy("host", "node").agg((F.sum(F.col("n") * F.col("n") * F.col("all") / (F.col("size") * F.col("pooled"))) - F.max("size")).alias("chi"))
+    fit = shapes.join(pooled, [*among, "shape"]).join(kinds.select(*among, "all"), among)
+    fit = fit.groupBy("host", "level", "node").agg((F.sum(F.col("n") * F.col("n") * F.col("all") / (F.col("size") * F.col("pooled"))) - F.max("size")).alias("chi"))
     rate = F.try_divide("all_b", "all_k")
     same = F.abs(F.try_divide("b", "k") - rate) <= z * F.sqrt(F.try_divide(rate * (1 - rate), F.col("k")))
     merges = (F.col("chi") <= F.col("free") + z * F.sqrt(2.0 * F.col("free")) + 1e-6) & ((F.col("k") < least) | F.coalesce(same, F.lit(False)))
-    out = own.join(fit, ["host", "node"]).join(kinds, ["host", "up", "kind"]).join(free, ["host", "up", "kind"])
-    return materialise(out.select("host", "node", "up", "kind", merges.alias("merges"), (2 * F.col("all") >= F.col("whole")).alias("rises")), f"branches{level}")
+    out = own.join(fit, ["host", "level", "node"]).join(kinds, among)
+    return materialise(out.select("host", "level", "node", "up", "kind", merges.alias("merges"), (2 * F.col("all") >= F.col("whole")).alias("rises")), "branches")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, depth: int = 3, many: int = 8, varied: float = 0.1, z: float = 1.96, least: int = 5, prior: float = 4.0, limit: float = 0.8) -> DataFrame:
@@ -114,31 +116,16 @@ def judge_urls(pages: DataFrame, rules=RULES, depth: int = 3, many: int = 8, var
     leaves = rows.groupBy("host", "template").agg(F.count("*").alias("pages"), F.count("_rule").alias("labels"), F.count(F.when(F.col("_rule.verdict") == "block", 1)).alias("blocked"))
     leaves = materialise(leaves.withColumns({"parts": parts, "parts_n": F.size(parts)}), "templates")
     n = leaves.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    placed = rows.select("host", F.split(F.expr("substring(path, 2)"), "/", -1).alias("segments"), parts.alias("parts"), F.size(parts).alias("parts_n"))
-    nodes, base, kinds = {}, {}, {}
-    for level in range(depth + 1, -1, -1):  # what each node has, from below
-        own = leaves.where(F.col("parts_n") == level).select("host", F.array_join("parts", "/").alias("node"), F.col("labels").alias("k"), F.col("blocked").alias("b"))
-        if level <= depth:
-            below = nodes[level + 1].join(base[level + 1], ["host", "node"])
-            sums = [F.sum(F.when(F.col("merges"), F.col(c)).otherwise(0)).alias(c) for c in ("k", "b")]
-            kinds[level + 1] = materialise(below.groupBy("host", "up", "kind", "rises").agg(*sums), f"kinds{level + 1}")
-            own = own.unionByName(kinds[level + 1].where("rises").select("host", F.col("up").alias("node"), "k", "b"))
-        if level:
-            nodes[level] = _branches(placed, leaves, level, z, least)
-            own = own.unionByName(nodes[level].select("host", "node", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("b")))
-        else:
-            own = own.unionByName(leaves.select("host", F.lit("").alias("node"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("b")))
-        base[level] = materialise(own.groupBy("host", "node").agg(F.sum("k").alias("k"), F.sum("b").alias("b")), f"base{level}")
-    have, found = base[0], None
-    for level in range(1, depth + 2):  # and what it takes from above
-        above = have.select("host", F.col("node").alias("up"), F.col("k").alias("up_k"), F.col("b").alias("up_b"))
-        kind = kinds[level].join(above, ["host", "up"])
-        kind = kind.select("host", "up", "kind", *[F.when(F.col("rises"), F.col(f"up_{c}")).otherwise(F.col(c)).alias(f"kind_{c}") for c in ("k", "b")])
-        have = nodes[level].join(base[level], ["host", "node"]).join(kind, ["host", "up", "kind"])
-        have = materialise(have.select("host", "node", *[F.when(F.col("merges"), F.col(f"kind_{c}")).otherwise(F.col(c)).alias(c) for c in ("k", "b")]), f"have{level}")
-        mine = leaves.where(F.col("parts_n") == level).withColumn("node", F.array_join("parts", "/")).join(have, ["host", "node"])
-        mine = mine.select("host", "template", "pages", ((F.col("b") + F.lit(prior / 2)) / (F.col("k") + F.lit(prior))).alias("purity"))
-        found = mine if found is None else found.unionByName(mine)
+    placed = rows.select("host", F.split(F.expr("substring(path, 2)"), "/", -1).alias("segments"), parts.alias("parts"))
+    branches = _branches(placed, leaves, z, least)
+    # A template climbs while its node merges and the kind rises; all that come to where it stops stop there.
+    way = leaves.select("host", "template", F.explode(F.sequence(F.lit(1), F.col("parts_n"))).alias("level"), "parts").withColumn("node", F.expr("array_join(slice(parts, 1, level), '/')"))
+    ends = F.struct("level", F.when(F.col("merges"), F.col("up")).otherwise(F.col("node")).alias("at"), F.when(F.col("merges"), F.concat(F.lit("kind "), "kind")).otherwise("").alias("kind"))
+    way = way.join(branches, ["host", "level", "node"]).groupBy("host", "template").agg(F.max(F.when(~(F.col("merges") & F.col("rises")), ends)).alias("stop"))
+    stop = {"level": F.coalesce("stop.level", F.lit(0)), "at": F.coalesce("stop.at", F.lit("")), "kind": F.coalesce("stop.kind", F.lit(""))}
+    way = materialise(way.select("host", "template", *[c.alias(k) for k, c in stop.items()]).join(leaves.select("host", "template", "pages", "labels", "blocked"), ["host", "template"]), "stops")
+    sums = way.groupBy("host", "level", "at", "kind").agg(F.sum("labels").alias("k"), F.sum("blocked").alias("b"))
+    found = way.join(sums, ["host", "level", "at", "kind"]).select("host", "template", "pages", ((F.col("b") + F.lit(prior / 2)) / (F.col("k") + F.lit(prior))).alias("purity"))
     out = skew_lookup(rows, materialise(found, "purity"), ["host", "template"], "pages", n)
     method = F.when(F.col("purity") >= limit, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), "template", "purity", F.coalesce(F.col("_rule.verdict"), method).alias("verdict"))
@@ -156,34 +143,6 @@ def oracle(depth: int = 3, many: int = 8, varied: float = 0.1, z: float = 1.96,
  t{i} AS (SELECT t.page_id, t.host, t.path, t.hit, t.segs,
    CASE WHEN t.segs[{i}] IS NULL THEN t.template WHEN c.kinds >= {many} AND c.kinds >= {varied}::DOUBLE * c.pages THEN t.template || '/*' ELSE t.template || '/' || t.segs[{i}] END AS template
    FROM t{i - 1} t LEFT JOIN c{i} c USING (host, template)),""")
-    node = lambda n: f"array_to_string(parts[1:{n}], '/')" if n else "''"
-    tree = []
-    for i in range(depth + 1, -1, -1):
-        merged = f"UNION ALL SELECT host, up, k, b FROM g{i + 1} WHERE rises" if i <= depth else ""
-        if i:
-            tree.append(f"""
- s{i} AS (SELECT host, {node(i)} AS node, {node(i - 1)} AS up, coalesce(regexp_replace(regexp_replace(segs[{i + 1}], '[0-9]+', '9', 'g'), '[A-Za-z]+', 'a', 'g'), '.') AS shape, count(*) AS n FROM t WHERE len(parts) >= {i} GROUP BY ALL),
- o{i} AS (SELECT * FROM (SELECT host, node, up, sum(n) AS size, first(shape ORDER BY n DESC, encode(shape)) AS kind FROM s{i} GROUP BY ALL)
-   JOIN (SELECT host, {node(i)} AS node, sum(labels) AS k, sum(blocked) AS b FROM n WHERE len(parts) >= {i} GROUP BY ALL) USING (host, node)),
- x{i} AS (SELECT s.host, s.node, s.up, o.kind, s.n, o.size, o.k, o.b, sum(s.n) OVER q AS pooled, sum(s.n) OVER c AS everything, count(DISTINCT s.shape) OVER c - 1 AS free
-   FROM s{i} s JOIN o{i} o ON o.host = s.host AND o.node = s.node WINDOW c AS (PARTITION BY s.host, s.up, o.kind), q AS (PARTITION BY s.host, s.up, o.kind, s.shape)),
- f{i} AS (SELECT host, node, sum(n * n * everything / (size * pooled)) - max(size) AS chi, max(free) AS free FROM x{i} GROUP BY ALL),
- a{i} AS (SELECT *, sum(k) OVER c AS all_k, sum(b) OVER c AS all_b, 2 * sum(size) OVER c >= sum(size) OVER (PARTITION BY host, up) AS rises FROM o{i} WINDOW c AS (PARTITION BY host, up, kind)),
- m{i} AS (SELECT a.host, a.node, a.up, a.kind, a.rises, chi <= free + {z}::DOUBLE * sqrt(CAST(2 AS DOUBLE) * free) + CAST(0.000001 AS DOUBLE) AND (k < {least}
-     OR coalesce(abs(b / nullif(k, 0) - all_b / nullif(all_k, 0)) <= {z}::DOUBLE * sqrt(all_b / nullif(all_k, 0) * (1 - all_b / nullif(all_k, 0)) / nullif(k, 0)), false)) AS merges
-   FROM a{i} a JOIN f{i} f ON f.host = a.host AND f.node = a.node),""")
-        tree.append(f"""
- b{i} AS (SELECT host, node, sum(k) AS k, sum(b) AS b FROM (
-   SELECT host, {node(i)} AS node, CASE WHEN len(parts) = {i} THEN labels ELSE 0 END AS k, CASE WHEN len(parts) = {i} THEN blocked ELSE 0 END AS b FROM n WHERE len(parts) >= {i} {merged}) GROUP BY ALL),""")
-        if i:
-            tree.append(f"""
- g{i} AS (SELECT m.host, m.up, m.kind, m.rises, sum(CASE WHEN m.merges THEN b.k ELSE 0 END) AS k, sum(CASE WHEN m.merges THEN b.b ELSE 0 END) AS b FROM m{i} m JOIN b{i} b ON m.host = b.host AND m.node = b.node GROUP BY ALL),""")
-    tree.append("\n h0 AS (SELECT * FROM b0),")
-    for i in range(1, depth + 2):
-        tree.append(f"""
- h{i} AS (SELECT m.host, m.node, CASE WHEN NOT m.merges THEN b.k WHEN m.rises THEN h.k ELSE g.k END AS k, CASE WHEN NOT m.merges THEN b.b WHEN m.rises THEN h.b ELSE g.b END AS b
-   FROM m{i} m JOIN b{i} b ON m.host = b.host AND m.node = b.node JOIN g{i} g ON g.host = m.host AND g.up = m.up AND g.kind = m.kind JOIN h{i - 1} h ON h.host = m.host AND h.node = m.up),""")
-    levels = " UNION ALL ".join(f"SELECT host, template, k, b FROM n JOIN h{i} USING (host) WHERE len(parts) = {i} AND node = array_to_string(parts, '/')" for i in range(1, depth + 2))
     return f"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '{url}', 1), ''), '{UPPER}', '{LOWER}') AS host,
@@ -191,10 +150,25 @@ WITH u AS (
 ), t0 AS (
   SELECT page_id, host, path, CASE {cases} END AS hit, string_split(substr(path, 2), '/') AS segs, '' AS template FROM u
 ),{"".join(steps)}
- w AS (SELECT * REPLACE (CASE WHEN len(segs) > {depth} THEN template || '/**' ELSE template END AS template) FROM t{depth}),
- t AS (SELECT *, string_split(substr(template, 2), '/') AS parts FROM w),
- n AS (SELECT host, template, parts, count(hit) AS labels, count(*) FILTER (hit LIKE 'block %') AS blocked FROM t GROUP BY ALL),{"".join(tree)}
- v AS (SELECT host, template, (b + {prior}::DOUBLE / 2) / (k + {prior}::DOUBLE) AS purity FROM ({levels}))
+ r AS (SELECT * REPLACE (CASE WHEN len(segs) > {depth} THEN template || '/**' ELSE template END AS template) FROM t{depth}),
+ t AS (SELECT *, string_split(substr(template, 2), '/') AS parts FROM r),
+ n AS (SELECT host, template, parts, count(hit) AS labels, count(*) FILTER (hit LIKE 'block %') AS blocked FROM t GROUP BY ALL),
+ e AS (SELECT *, unnest(range(1, len(parts) + 1)) AS level FROM t),
+ s AS (SELECT host, level, array_to_string(parts[1:level], '/') AS node, coalesce(array_to_string(parts[1:level - 1], '/'), '') AS up,
+   coalesce(regexp_replace(regexp_replace(segs[level + 1], '[0-9]+', '9', 'g'), '[A-Za-z]+', 'a', 'g'), '.') AS shape, count(*) AS n FROM e GROUP BY ALL),
+ w AS (SELECT *, unnest(range(1, len(parts) + 1)) AS level FROM n),
+ o AS (SELECT * FROM (SELECT host, level, node, up, sum(n) AS size, first(shape ORDER BY n DESC, encode(shape)) AS kind FROM s GROUP BY ALL)
+   JOIN (SELECT host, level, array_to_string(parts[1:level], '/') AS node, sum(labels) AS k, sum(blocked) AS b FROM w GROUP BY ALL) USING (host, level, node)),
+ x AS (SELECT s.*, o.kind, o.size, sum(s.n) OVER q AS pooled, sum(s.n) OVER c AS everything, count(DISTINCT s.shape) OVER c - 1 AS free
+   FROM s JOIN o ON o.host = s.host AND o.level = s.level AND o.node = s.node WINDOW c AS (PARTITION BY s.host, s.level, s.up, o.kind), q AS (PARTITION BY s.host, s.level, s.up, o.kind, s.shape)),
+ f AS (SELECT host, level, node, sum(n * n * everything / (size * pooled)) - max(size) AS chi, max(free) AS free FROM x GROUP BY ALL),
+ a AS (SELECT *, sum(k) OVER c AS all_k, sum(b) OVER c AS all_b, 2 * sum(size) OVER c >= sum(size) OVER (PARTITION BY host, level, up) AS rises FROM o WINDOW c AS (PARTITION BY host, level, up, kind)),
+ m AS (SELECT host, level, node, up, kind, rises, chi <= free + {z}::DOUBLE * sqrt(CAST(2 AS DOUBLE) * free) + CAST(0.000001 AS DOUBLE) AND (k < {least}
+   OR coalesce(abs(b / nullif(k, 0) - all_b / nullif(all_k, 0)) <= {z}::DOUBLE * sqrt(all_b / nullif(all_k, 0) * (1 - all_b / nullif(all_k, 0)) / nullif(k, 0)), false)) AS merges
+   FROM a JOIN f USING (host, level, node)),
+ y AS (SELECT w.host, w.template, w.labels, w.blocked, coalesce(max(CASE WHEN NOT (merges AND rises) THEN {{'level': w.level, 'at': CASE WHEN merges THEN up ELSE node END, 'kind': CASE WHEN merges THEN 'kind ' || kind ELSE '' END}} END), {{'level': 0, 'at': '', 'kind': ''}}) AS stop
+   FROM w JOIN m ON m.host = w.host AND m.level = w.level AND m.node = array_to_string(w.parts[1:w.level], '/') GROUP BY ALL),
+ v AS (SELECT host, template, (sum(blocked) OVER g + {prior}::DOUBLE / 2) / (sum(labels) OVER g + {prior}::DOUBLE) AS purity FROM y WINDOW g AS (PARTITION BY host, stop))
 SELECT t.page_id, t.host, t.path, split_part(t.hit, ' ', 2) AS rule, t.template, v.purity,
   coalesce(split_part(t.hit, ' ', 1), CASE WHEN v.purity >= {limit}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
 FROM t JOIN v USING (host, template)"""
