@@ -233,7 +233,7 @@ def _signatures(width: int, num: int, den: int, seed: int):
                 if not len(sizes):
                     continue
                 node = _nodes(h, sizes)[0]
-                if len(given) > 500_000:
+                if len(given) > 200_000:
                     given.clear()
                 new = np.zeros(len(node), bool)
                 new[[i for i, x in enumerate(node.tolist()) if x not in given and not given.add(x)]] = True
