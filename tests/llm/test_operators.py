@@ -467,6 +467,37 @@ def test_licenses(spark, docs, empty):
     assert licenses.align(list("abc"), list("xaybzc")) == [(0, 1), (1, 3), (2, 5)]
 
 
+def test_licenses_found_equal_a_search_of_every_stretch(spark):
+    """Against a longest common subsequence with every stretch of twice a template's length: templates cut up, words put in, repeated, or too few."""
+    rng = random.Random(21)
+    templates = {"A": "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10", "B": "b1 b2 b3 b4 b5", "C": "c1 c2 c3 c2 c4 c1 c5 c6 c7 c8 c9 c10"}
+    texts = []
+    for _ in range(150):
+        words = [f"n{rng.randrange(9)}" for _ in range(rng.randrange(3, 25))]
+        for t in rng.sample(sorted(templates), rng.randrange(0, 3)):
+            part = templates[t].split()
+            for _ in range(rng.randrange(0, 4)):
+                part.pop(rng.randrange(len(part)))
+            for _ in range(rng.randrange(0, 3)):
+                part.insert(rng.randrange(len(part) + 1), f"n{rng.randrange(9)}")
+            at = rng.choice([0, len(words)])
+            words[at:at] = part
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: {x["license"] for x in r["found"]} for r in licenses.scan_licenses(rows, templates).collect()}
+    hits = 0
+    for i, text in enumerate(texts):
+        words = text.split()
+        want = set()
+        for name, t in templates.items():
+            t = t.split()
+            if any(lcs(words[a : a + 2 * len(t)], t) >= math.ceil(0.8 * len(t)) for a in range(len(words))):
+                want.add(name)
+        hits += len(want)
+        assert got[i] == want, text
+    assert hits > 60
+
+
 def test_licenses_of_genuine_notices(spark):
     """Notices and texts as they stand in files, none of them in the generated documents."""
     gpl2 = """/* This program is free software; you can redistribute it and/or modify
