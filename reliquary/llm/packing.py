@@ -43,7 +43,7 @@ _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PL
 class WordIds:
     """Token ids by the `tokenizers` library, which sees each different word once while it is cached."""
 
-    def __init__(self, path: str, words: int = 200_000):
+    def __init__(self, path: str, words: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -95,7 +95,6 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end: int) -> DataFrame
                     rows.extend((ids[i], p, s, min(size, n - s), zlib.crc32(x[4 * s : 4 * (s + size)])) for p, s in enumerate(range(0, n, size)))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        words.cache.clear()  # the worker lives on, other stages need the memory
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return materialise(out.withColumn("row", F.monotonically_increasing_id()), "pieces", rows=1000)
